@@ -6,7 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import query
 from ..sources.tables import load
-from . import spam
+from . import linkage, spam
+
+# ---------------------------------------------------------------- p3
+
+
+def payment_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = linkage.records(load(spark, sf, "core_banking"), 0, "transaction_id", "amount", "currency", "value_date", "narrative")
+    r = r.unionByName(linkage.records(load(spark, sf, "aggregator"), 1, "agg_id", "transaction_amount", "currency", "transaction_date", "memo"))
+    r = r.unionByName(linkage.records(load(spark, sf, "manual_entries"), 2, "entry_id", "debit_credit_amount", "currency", "entry_date", "notes", typed=True))
+    return r.unionByName(linkage.records(load(spark, sf, "reporting_system"), 3, "txn_ref", "net_amount", "currency", "posting_date", "description"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.links(payment_records(spark, sf)).select("key_a", "key_b")
+
+
+@query("p3_links")
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pairs with the confidence of each."""
+    return linkage.links(payment_records(spark, sf))
+
 
 # ---------------------------------------------------------------- p10
 
