@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fold_name
-from ..operators import changefeed, dedup, history, incremental, late
-from ..plans.runtime import scratch
+from ..operators import changefeed, dedup, drift, history, incremental, late
+from ..plans.runtime import materialize, scratch
 from ..registry import query
 from ..sources.tables import load
 
@@ -160,6 +160,32 @@ def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
     return t.read().select("table_name", "topic", "period_start", "n_rows", "n_first", "n_corrections", "total")
 
 
+# ---------------------------------------------------------------- p5
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.changes(materialize(drift.flattened(load(spark, sf, "schema_events")), "fields"))
+
+
+@query("p5_unified")
+def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """All payloads as one table with a column name that outlives renames."""
+    f = materialize(drift.flattened(load(spark, sf, "schema_events")), "fields")
+    return drift.unified(f, drift.changes(f))
+
+
+@query("p5_users")
+def p5_users(spark: SparkSession, sf: str) -> DataFrame:
+    """dim_users in one shape: one status, the tier in the codes of version 3, the phone as digits."""
+    u = load(spark, sf, "dim_users")
+    tiers = drift.value_map(u, "id", "_cdc_lsn", "_schema_version", "tier", 2, 3).select(F.col("old_value").alias("tier"), F.col("new_value").alias("tier_code"))
+    digits = F.regexp_replace("phone", "[^0-9]", "")
+    j = u.join(tiers, "tier", "left")
+    coded = F.when(F.col("tier").rlike("^[0-9]+$"), F.col("tier")).otherwise(F.col("tier_code"))
+    return j.select("id", "email", "username", F.coalesce("account_status", "status").alias("status"), coded.alias("tier"), digits.alias("phone"), "created_at", "updated_at", "_cdc_op", "_cdc_lsn", "_dw_loaded_at")
+
+
 # ---------------------------------------------------------------- p6
 
 _FOLD = "regexp_replace(replace(strip_accents(lower({0})), 'đ', 'd'), '[\\s\\x{{00a0}}]+', '', 'g')"
