@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.runtime import materialize
 from ..registry import query
 from ..sources.tables import load
-from . import linkage, spam
+from . import linkage, mixing, packing, spam, tokens
 
 # ---------------------------------------------------------------- p3
 
@@ -29,6 +30,36 @@ def p3_links(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.links(payment_records(spark, sf))
 
 
+# ---------------------------------------------------------------- p8
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text's containers of each size, with the tokens in them."""
+    return packing.pack(tokens.token_sizes(load(spark, sf, "documents"), ["doc_id"]), load(spark, sf, "pack_sizes"))
+
+
+@query("p8_fills")
+def p8_fills(spark: SparkSession, sf: str) -> DataFrame:
+    packs = load(spark, sf, "pack_sizes")
+    return packing.fills(packing.pack(tokens.token_sizes(load(spark, sf, "documents"), ["doc_id"]), packs), packs)
+
+
+# ---------------------------------------------------------------- p9
+
+
+@query("p9_choice")
+def p9_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn, each as often as it is used."""
+    sizes = materialize(tokens.token_sizes(load(spark, sf, "documents"), ["doc_id", "source"]), "sizes")
+    return mixing.mix(sizes, load(spark, sf, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(tokens.token_sizes(load(spark, sf, "documents"), ["doc_id", "source"]), load(spark, sf, "mix_targets"))
+
+
 # ---------------------------------------------------------------- p10
 
 
