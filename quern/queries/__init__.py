@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems"]
+MODULES = ["data_problems", "relational"]
 
 
 def load_all() -> None:
