@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems", "relational"]
+MODULES = ["data_problems", "relational", "temporal"]
 
 
 def load_all() -> None:
