@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems", "relational", "temporal"]
+MODULES = ["data_problems", "relational", "temporal", "lifecycle"]
 
 
 def load_all() -> None:
