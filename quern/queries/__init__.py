@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems", "relational", "temporal", "lifecycle"]
+MODULES = ["data_problems", "relational", "temporal", "lifecycle", "advanced", "flows"]
 
 
 def load_all() -> None:
