@@ -75,7 +75,7 @@ def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def flattened(events: DataFrame) -> DataFrame:
     """A row per record and field: subject, file_no, event_id, id, path, jtype, value (as JSON)."""
-    src = events.where("subject is not null and file_no is not null").select("subject", F.col("file_no").cast("int").alias("file_no"), F.col("event_id").cast("bigint").alias("event_id"), "payload")
+    src = events.where("subject is not null and file_no is not null").select("subject", F.col("file_no").cast("int").alias("file_no"), F.coalesce(F.col("event_id").cast("bigint"), F.lit(-1)).alias("event_id"), "payload")
     return src.mapInPandas(_flatten, _FIELD_SCHEMA)
 
 
