@@ -40,7 +40,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget_tokens: int | None = None,
     ``sizes`` has doc_id, source, n_tokens. Without a budget it is the size of the corpus of
     the targeted sources, each document once.
     """
-    queue = sizes.where("n_tokens > 0 and doc_id is not null").withColumn("source", source_name(F.col("source"))).join(_targets(targets), "source")
+    queue = sizes.where("n_tokens > 0 and doc_id is not null").select("doc_id", "n_tokens", source_name(F.col("source")).alias("source")).join(_targets(targets), "source")
     budget = budget_tokens if budget_tokens is not None else queue.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     served = queue.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).withColumn("_h", F.xxhash64(F.lit(seed), "repeat_no", "doc_id"))
     lined = range_sorted(served.select("source", "repeat_no", "_h", "doc_id", "n_tokens", "weight"), [F.col("source"), F.col("repeat_no"), F.col("_h"), F.col("doc_id")])

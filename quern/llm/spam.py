@@ -18,7 +18,7 @@ The usual values are a handful of numbers, from one aggregate with a row per lan
 class. With them the second pass judges each text by itself, without join or shuffle, and
 runs the exact check on flagged texts only.
 
-Defined cases: a null or empty text, and one of fewer than ``LEAST_WORDS`` words, is no
+Defined cases: rows without id are skipped; a null or empty text, and one of fewer than ``LEAST_WORDS`` words, is no
 case; a null or unknown language is "other"; every copy of a case is a case, since the
 result depends on the text, its language and corpus means alone; an empty
 table gives no rows; columns other than id, text and language are never read.
@@ -241,5 +241,5 @@ def judged_pages(docs: DataFrame, usual: Usual | None = None) -> DataFrame:
                 out.append((doc, part, flagged, confirmed, spam, bool(confirmed and spam > SPAM_PART)))
             yield pd.DataFrame(out, columns=["doc_id", "part_of_usual", "flagged", "confirmed", "spam_part", "is_spam"]).astype({"spam_part": "float64"})
 
-    src = docs.select("doc_id", language(F.col("lang")).alias("lang"), "text")
+    src = docs.where("doc_id is not null").select("doc_id", language(F.col("lang")).alias("lang"), "text")
     return src.mapInPandas(judge, "doc_id long, part_of_usual double, flagged boolean, confirmed boolean, spam_part double, is_spam boolean")

@@ -11,7 +11,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: Default vocabulary: a byte-level BPE for many languages, as base64 ranks. It must be at this path on every node.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -34,8 +34,8 @@ def count_tokens(text: object, path: str = VOCABULARY) -> int:
 
 
 def token_sizes(docs: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` of each row's text."""
-    src = docs.select(*keep, "text")
+    """``keep`` columns and ``n_tokens`` of each row's text; rows without the first of them (the id) are skipped."""
+    src = docs.where(F.col(keep[0]).isNotNull()).select(*keep, "text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
