@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems", "relational", "temporal", "lifecycle", "advanced", "flows"]
+MODULES = ["data_problems", "relational", "temporal", "lifecycle", "advanced", "flows", "composites"]
 
 
 def load_all() -> None:
