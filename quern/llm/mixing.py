@@ -9,7 +9,7 @@ range-sorted tables, with a start per range; no source is ever in one task.
 
 Defined cases: sources are compared without regard to letter case, outer spaces and
 hyphens; documents of null or other sources, null ids and without tokens are never chosen; a weight that is
-null, zero or less closes a source; max_repeats below one or null counts as one; equal
+null, zero or less closes a source, of several targets of a source the greatest counts; max_repeats below one or null counts as one; equal
 finishing times are broken by source, repeat and id; with an empty corpus nothing is chosen.
 """
 
@@ -30,6 +30,7 @@ def source_name(c: Column) -> Column:
 
 def _targets(targets: DataFrame) -> DataFrame:
     t = targets.where("target_weight > 0 and source is not null").select(source_name(F.col("source")).alias("source"), F.col("target_weight").cast("double").alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("repeats"))
+    t = t.groupBy("source").agg(F.max(F.struct("weight", "repeats")).alias("_t")).select("source", "_t.*")
     small = t.limit(TARGETS_BROADCAST + 1).count() <= TARGETS_BROADCAST
     return F.broadcast(t) if small else t
 
