@@ -54,7 +54,7 @@ class IncrementalTable:
     """
 
     def __init__(self, spark: SparkSession, root: str, parts: list[str]):
-        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+        self.spark, self.root, self.parts, self.schema = spark, root.rstrip("/"), parts, None
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -74,7 +74,8 @@ class IncrementalTable:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/state/v={v}") if v else like.limit(0)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/data")
+        r = self.spark.read
+        return (r.schema(self.schema) if self.schema else r).parquet(f"{self.root}/data")
 
     def refresh(self, source: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, fail_before_commit: bool = False) -> DataFrame:
         """Recompute what changed; returns the partitions touched with their state.
@@ -89,7 +90,9 @@ class IncrementalTable:
         on = [source[p].eqNullSafe(live[p]) for p in self.parts]
         rows = source.join(live, on, "left_semi")
         out = compute(rows)
-        out.select(*[c for c in out.columns if c not in self.parts], *self.parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.root}/data")
+        out = out.select(*[c for c in out.columns if c not in self.parts], *self.parts)
+        self.schema = out.schema
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.root}/data")
         fs, path = self._fs()
         for r in touched.where("_fp_state = 'gone'").select(*self.parts).toLocalIterator():
             fs.delete(path(f"{self.root}/data/" + "/".join(f"{p}={'__HIVE_DEFAULT_PARTITION__' if r[p] is None else r[p]}" for p in self.parts)), True)

@@ -8,7 +8,7 @@ dynamic partition overwrite. A batch that is applied twice, or again after a cra
 gives the same table.
 
 Defined cases: rows without event time or arrival time have no period; a topic without
-limits has none either; of several deliveries of a (topic, partition, offset) the one
+limits has none either, and of several limits of a topic the longest counts; of several deliveries of a (topic, partition, offset) the one
 with the smallest row id counts, a null in any of the three makes a row a delivery of its own;
 null payload measures are left out of sums; empty input gives empty output.
 """
@@ -40,7 +40,7 @@ def first_deliveries(rows: DataFrame, value: str | None = None) -> DataFrame:
 def with_periods(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds ``period_start`` (microseconds) and ``verdict``: on_time, correction or too_late."""
     small = limits.limit(LIMITS_BROADCAST + 1).count() <= LIMITS_BROADCAST
-    lim = limits.where("period_minutes > 0").select("table_name", "topic", (F.col("period_minutes").cast("bigint") * 60_000_000).alias("_p"), (F.col("cutoff_minutes").cast("bigint") * 60_000_000).alias("_c"))
+    lim = limits.where("period_minutes > 0").groupBy("table_name", "topic").agg(F.max(F.struct("period_minutes", "cutoff_minutes")).alias("_l")).select("table_name", "topic", "_l.*").select("table_name", "topic", (F.col("period_minutes").cast("bigint") * 60_000_000).alias("_p"), (F.col("cutoff_minutes").cast("bigint") * 60_000_000).alias("_c"))
     r = rows.where("event_time is not null and arrival is not null")
     j = r.join(F.broadcast(lim) if small else lim, ["table_name", "topic"])
     e, a = _us("event_time"), _us("arrival")
@@ -60,11 +60,12 @@ class RestatedPeriods:
 
     PARTS = ["table_name", "topic", "period_day"]
 
-    def __init__(self, spark: SparkSession, root: str, limits: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, limits: DataFrame, total_type: str = "bigint"):
         self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
+        self.schema = f"period_start bigint, n_rows bigint, n_first bigint, n_corrections bigint, total {total_type}, table_name string, topic string, period_day string"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.root)
+        return self.spark.read.schema(self.schema).parquet(self.root)
 
     def touched(self, batch: DataFrame) -> DataFrame:
         """Partitions that the batch's on-time and correction rows fall into."""
@@ -83,5 +84,5 @@ class RestatedPeriods:
             F.count_if(F.col("verdict") == "on_time").alias("n_first"),
             F.count_if(F.col("verdict") == "correction").alias("n_corrections"),
             F.sum(value).alias("total"),
-        )
+        ).select(*[c.split()[0] for c in self.schema.split(", ")])
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.PARTS).parquet(self.root)

@@ -20,3 +20,25 @@ def spark():
 def rows():
     """Sorted rows of a DataFrame as tuples; None sorts first."""
     return lambda df: sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((v is not None, str(v)) for v in t))
+
+
+#: Names that operators use inside; tables get extra columns of these names.
+CLASHING = ["row_id", "table_name", "verdict", "period_start", "key", "n", "size", "rec", "words", "weight", "repeats", "is_spam", "ratio", "city_key", "_on", "_live", "last_pos", "_fp_n", "value"]
+
+
+@pytest.fixture(scope="session")
+def variants(spark, tmp_path_factory):
+    """Copies of the smallest tables: empty, with a row of nulls, with every row twice, and with clashing extra columns."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    root = tmp_path_factory.mktemp("variants")
+    for f in sorted(glob.glob("/root/testdata/sf0.001/*.parquet")):
+        name = os.path.basename(f)
+        df = spark.read.parquet(f)
+        nulls = df.limit(1).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in df.schema])
+        extra = df.withColumns({c: F.lit("clash") for c in CLASHING if c not in df.columns})
+        for kind, d in (("empty", df.limit(0)), ("nulls", df.unionByName(nulls)), ("twice", df.unionByName(df)), ("extra", extra)):
+            d.coalesce(1).write.parquet(str(root / kind / name))
+    return str(root)
