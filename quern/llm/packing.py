@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ordering import range_sorted, with_running
+from ..plans.runtime import materialize
 
 #: Container sizes are settings; more than this many are refused.
 MOST_PACKS = 100
@@ -106,7 +107,8 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     if not caps:
         return spark.createDataFrame([], schema)
     options = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("capacity")) for n, c in caps])
-    base = sizes.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"))
+    # the range sort reads its input twice, once to find the ranges; sizes must not be computed again for that
+    base = materialize(sizes.select("doc_id", "n_tokens"), "sizes").where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"))
     items = base.withColumn("_o", F.explode(options)).select("doc_id", "n", "_o.pack_name", "_o.capacity")
     items = items.withColumn("parts", F.floor(F.col("n") / F.col("capacity"))).withColumn("size", F.col("n") - F.col("parts") * F.col("capacity"))
     ranged = range_sorted(items, [F.col("pack_name"), F.col("size").desc(), F.col("doc_id")])
