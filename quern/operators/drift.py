@@ -163,7 +163,7 @@ def renames(fields: DataFrame, steps: DataFrame) -> DataFrame:
     name = 1 - F.levenshtein(_leaf("old_field"), _leaf("new_field")) / F.greatest(F.length(_leaf("old_field")), F.length(_leaf("new_field")), F.lit(1))
     score = F.col("n_same") / F.col("n_common") + F.when(F.col("t1") == F.col("t2"), 0.02).otherwise(0.0) + 0.05 * name
     near = near.where("n_same > 0").withColumn("score", score)
-    found = near.groupBy("subject", "file_no").applyInPandas(_assign, "subject string, file_no int, old_field string, new_field string")
+    found = materialize(near.groupBy("subject", "file_no").applyInPandas(_assign, "subject string, file_no int, old_field string, new_field string"), "assigned")
     exact = _agreement(
         f.where("side = 'gone'").join(found.select("subject", "file_no", F.col("old_field").alias("path")), ["subject", "file_no", "path"], "left_semi"),
         f.where("side = 'come'").join(found.select("subject", "file_no", F.col("new_field").alias("path")), ["subject", "file_no", "path"], "left_semi"),
