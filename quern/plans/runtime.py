@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: A stored table of at most so many bytes on disk may be broadcast; in memory it is some times that.
+STORED_LIMIT = 8 << 20
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -58,11 +61,21 @@ def materialize(df: DataFrame, label: str = "cut", partition_by: list[str] | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes on disk of a stored table, as its file listing has them."""
+    return int(table._jdf.queryExecution().analyzed().stats().sizeInBytes())
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if its row count is checked to be small, else ``df`` as it is."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+def broadcast_if_small(df: DataFrame, limit: int = 100_000, base: DataFrame | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its row count is checked to be small, else ``df`` as it is.
+
+    ``base`` is a stored table with at least as many rows, for instance the dimension that ``df`` filters or
+    enriches. Then the size of its files is checked instead, which needs no job.
+    """
+    small = stored_bytes(base) <= STORED_LIMIT if base is not None else small_enough(df, limit)
+    return F.broadcast(df) if small else df

@@ -71,9 +71,14 @@ join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey join nation
 )
 def q5_region_revenue(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation").join(load(spark, sf, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    s = load(spark, sf, "supplier").join(broadcast_if_small(n, 1000), F.col("s_nationkey") == F.col("n_nationkey"))
-    o = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    j = load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    n = broadcast_if_small(n, 1000, load(spark, sf, "nation"))
+    suppliers, customers = load(spark, sf, "supplier"), load(spark, sf, "customer")
+    s = suppliers.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    c = customers.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+    o = load(spark, sf, "orders").join(broadcast_if_small(c, base=customers), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    # both sides shrink to the region before they meet
+    li = load(spark, sf, "lineitem").join(broadcast_if_small(s, base=suppliers), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = li.join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
     return j.groupBy("n_name").agg(F.round(F.sum(_revenue()), 4).alias("revenue"))
 
 
@@ -147,11 +152,16 @@ join part on l_partkey = p_partkey group by 1, 2, 3""",
 )
 def join_ten_way(spark: SparkSession, sf: str) -> DataFrame:
     places = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    places = broadcast_if_small(places, 1000)
-    c = load(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("customer_region"))
-    s = load(spark, sf, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("supplier_region"))
-    o = load(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "customer_region")
-    j = load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    places = broadcast_if_small(places, 1000, load(spark, sf, "nation"))
+    customers, suppliers, parts = (load(spark, sf, t) for t in ("customer", "supplier", "part"))
+    c = customers.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("customer_region"))
+    s = suppliers.join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("supplier_region"))
+    o = load(spark, sf, "orders").join(broadcast_if_small(c, base=customers), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "customer_region")
+    p = parts.select("p_partkey", "p_brand")
+    # the small dimensions first, so that one join of the large tables shuffles
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    li = li.join(broadcast_if_small(s, base=suppliers), F.col("l_suppkey") == F.col("s_suppkey")).join(broadcast_if_small(p, base=parts), F.col("l_partkey") == F.col("p_partkey"))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("customer_region", "supplier_region", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
