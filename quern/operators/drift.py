@@ -21,7 +21,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..plans.runtime import materialize
 
@@ -220,3 +220,68 @@ def value_map(rows: DataFrame, key: str, order: str, version: str, column: str,
     b = v.where(F.col(version) == new).groupBy(key).agg(F.min_by(column, order).alias("new_value"))
     n = a.join(b, key).groupBy("old_value", "new_value").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("old_value").agg(F.max_by("new_value", F.struct("n", "new_value")).alias("new_value"), F.max("n").alias("n"))
+
+
+def table_fields(rows: DataFrame, subject: str, version: str, order: str, key: str) -> DataFrame:
+    """A table that holds several versions of its own schema as ``flattened`` has events: a row per key and filled column.
+
+    Columns starting with an underscore are bookkeeping. A column that no row of a version fills isn't there in that version.
+    """
+    cols = [c for c in rows.columns if c != key and not c.startswith("_")]
+    kinds = dict(rows.dtypes)
+    cells = F.array(*[F.struct(F.lit(c).alias("path"), F.lit(kinds[c]).alias("jtype"), F.col(c).cast("string").alias("value")) for c in cols])
+    r = rows.where(F.col(version).isNotNull() & F.col(key).isNotNull()).select(F.col(version).cast("int").alias("file_no"), F.coalesce(F.col(order).cast("bigint"), F.lit(-1)).alias("event_id"), F.col(key).cast("string").alias("id"), cells.alias("_cells"))
+    return r.select(F.lit(subject).alias("subject"), "file_no", "event_id", "id", F.inline("_cells")).where("value is not null")
+
+
+def recodings(fields: DataFrame, all_changes: DataFrame) -> DataFrame:
+    """Columns that stay or are renamed but hold their values otherwise than in the version before, shaped as ``changes``.
+
+    Each key's last value under the old version is held against its first under the new one. Where most keys hold
+    another text, the column is ``reformatted`` if most agree in letters and digits, and ``recoded`` if most of the
+    new values are new to the column and the most frequent partner of each old value accounts for most keys.
+    """
+    paths = fields.select("subject", "file_no", "path").distinct()
+    renamed = all_changes.where("change_kind = 'renamed'").select("subject", "file_no", F.col("new_field").alias("path"), "old_field")
+    steps = paths.join(renamed, ["subject", "file_no", "path"], "left").select("subject", "file_no", F.coalesce("old_field", "path").alias("old_field"), F.col("path").alias("new_field"))
+    key = ["subject", "file_no", "path", "id"]
+    old = fields.groupBy(*key).agg(F.max_by("value", F.struct("event_id", "value")).alias("v")).select("subject", (F.col("file_no") + 1).alias("file_no"), F.col("path").alias("old_field"), "id", "v")
+    new = fields.groupBy(*key).agg(F.min_by("value", F.struct("event_id", "value")).alias("w")).withColumnRenamed("path", "new_field")
+    step = ["subject", "file_no", "old_field", "new_field"]
+    plain = [F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")) for c in ("v", "w")]
+    pairs = new.join(steps, ["subject", "file_no", "new_field"]).join(old, ["subject", "file_no", "old_field", "id"]).groupBy(*step, "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    known = fields.select("subject", (F.col("file_no") + 1).alias("file_no"), F.col("path").alias("old_field"), F.col("value").alias("w"), F.lit(True).alias("_known")).distinct()
+    pairs = materialize(pairs.join(known, ["subject", "file_no", "old_field", "w"], "left"), "value-pairs")
+    by_old = pairs.groupBy(*step, "v").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum(F.when(F.col("v") == F.col("w"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(plain[0] == plain[1], F.col("n")).otherwise(0)).alias("alike"), F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0)).alias("fresh"))
+    t = by_old.groupBy(*step).agg(F.sum("n").alias("n"), F.sum("top").alias("top"), F.sum("same").alias("same"), F.sum("alike").alias("alike"), F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("n_old"))
+    most = F.col("n") * SAME_VALUES
+    kind = F.when(F.col("alike") >= most, "reformatted").when((F.col("fresh") >= most) & (F.col("top") >= most) & (2 * F.col("n_old") <= F.col("n")), "recoded")
+    return t.where(F.col("same") < most).select("subject", "file_no", kind.alias("change_kind"), "old_field", "new_field").where("change_kind is not null")
+
+
+def table_changes(fields: DataFrame) -> DataFrame:
+    """``changes`` and ``recodings`` of a table."""
+    c = materialize(changes(fields), "changes")
+    return c.unionByName(recodings(fields, c))
+
+
+def unified_table(rows: DataFrame, found: list[Row], version: str, order: str, key: str) -> DataFrame:
+    """The rows in one shape, by the changes found: a renamed column under its first name, recoded values in the latest codes, reformatted ones as letters and digits."""
+    first: dict[str, str] = {}
+    for r in sorted((r for r in found if r["change_kind"] == "renamed"), key=lambda r: r["file_no"]):
+        first[r["new_field"]] = first.get(r["old_field"], r["old_field"])
+    for r in sorted((r for r in found if r["change_kind"] in ("recoded", "reformatted")), key=lambda r: r["file_no"]):
+        old, new, no = r["old_field"], r["new_field"], r["file_no"]
+        if r["change_kind"] == "reformatted":
+            rows = rows.withColumns({c: F.regexp_replace(F.col(c).cast("string"), r"[^\p{L}\p{N}]+", "") for c in {old, new}})
+            continue
+        same = rows.withColumn("_held", F.when(F.col(version) == no, F.col(new)).otherwise(F.col(old)))
+        codes = value_map(same, key, order, version, "_held", no - 1, no)
+        # rows without a version are of the old one if they hold one of its codes only
+        own = codes.join(codes.select(F.col("new_value").alias("old_value")).distinct(), "old_value", "left_semi").select("old_value", F.lit(True).alias("_both"))
+        codes = codes.join(own, "old_value", "left").select(F.col("old_value").alias(old), F.col("new_value").alias("_code"), "_both", F.lit(True).alias("_coded"))
+        before = F.coalesce(F.col(version) < no, F.col("_coded") & F.col("_both").isNull(), F.lit(False))
+        rows = rows.join(codes, old, "left").withColumn(old, F.when(before, F.col("_code")).otherwise(F.col(old))).drop("_code", "_both", "_coded")
+    for c in {first[x] for x in first}:
+        rows = rows.withColumn(c, F.coalesce(*[x for x in reversed(first) if first[x] == c], c))
+    return rows.drop(*first)

@@ -175,15 +175,24 @@ def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(f, drift.changes(f))
 
 
+def user_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(drift.table_fields(load(spark, sf, "dim_users"), "dim_users", "_schema_version", "_cdc_lsn", "id"), "fields")
+
+
+@query("p5_users_changes")
+def p5_users_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of dim_users against the version before, as p5_found has them, and columns whose values are recoded or reformatted."""
+    return drift.table_changes(user_fields(spark, sf))
+
+
 @query("p5_users")
 def p5_users(spark: SparkSession, sf: str) -> DataFrame:
-    """dim_users in one shape: one status, the tier in the codes of version 3, the phone as digits."""
-    u = load(spark, sf, "dim_users")
-    tiers = drift.value_map(u, "id", "_cdc_lsn", "_schema_version", "tier", 2, 3).select(F.col("old_value").alias("tier"), F.col("new_value").alias("tier_code"))
-    digits = F.regexp_replace("phone", "[^0-9]", "")
-    j = u.join(tiers, "tier", "left")
-    coded = F.when(F.col("tier").rlike("^[0-9]+$"), F.col("tier")).otherwise(F.col("tier_code"))
-    return j.select("id", "email", "username", F.coalesce("account_status", "status").alias("status"), coded.alias("tier"), digits.alias("phone"), "created_at", "updated_at", "_cdc_op", "_cdc_lsn", "_dw_loaded_at")
+    """dim_users in one shape by the changes found in it; their list is bounded by the schema."""
+    found = drift.table_changes(user_fields(spark, sf)).collect()
+    u = drift.unified_table(load(spark, sf, "dim_users"), found, "_schema_version", "_cdc_lsn", "id")
+    kept = [c for c in u.columns if not c.startswith("_")]
+    order = ["id", "email", "username", "status", "tier", "phone", "created_at", "updated_at"]
+    return u.select(*[c for c in order if c in kept], *[c for c in kept if c not in order], "_cdc_op", "_cdc_lsn", "_dw_loaded_at")
 
 
 # ---------------------------------------------------------------- p6

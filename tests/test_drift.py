@@ -48,3 +48,21 @@ def test_repeated_ids_missing_ids_and_empty(spark):
 def test_value_map(spark):
     d = spark.createDataFrame([(1, 1, 2, "pro"), (1, 2, 3, "2"), (2, 1, 2, "pro"), (2, 5, 3, "2"), (3, 1, 2, "pro"), (3, 2, 3, "3"), (4, 1, 2, None)], "id int, pos int, ver int, tier string")
     assert [tuple(r) for r in D.value_map(d, "id", "pos", "ver", "tier", 2, 3).collect()] == [("pro", "2", 2)]
+
+
+def test_changes_of_a_table_of_versions(spark, tmp_path):
+    from quern.queries.data_problems import p5_users, p5_users_changes
+
+    rows = []
+    for v in (1, 2, 3, 4):
+        for i in range(40):
+            name, state, tier = f"n{i}", ("active", "closed", "open")[i % 3], i % 4
+            phone = f"+84 {i:03} 77" if v == 2 else f"84{i:03}77"
+            rows.append((i, name if v < 4 else None, name if v == 4 else None, state if v == 1 else None, state if v > 1 else None, None if v == 1 else "abcd"[tier] if v == 2 else str(tier), None if v == 1 else phone, f"t{v}-{i}", "u", v * 100 + i, v, "x"))
+    d = spark.createDataFrame(rows, "id bigint, username string, login string, status string, account_status string, tier string, phone string, updated_at string, _cdc_op string, _cdc_lsn bigint, _schema_version int, _dw_loaded_at string")
+    d.write.parquet(str(tmp_path / "dim_users.parquet"))
+    want = [(2, "added", "", "phone"), (2, "added", "", "tier"), (2, "renamed", "status", "account_status"), (3, "recoded", "tier", "tier"), (3, "reformatted", "phone", "phone"), (4, "renamed", "username", "login")]
+    assert kinds(p5_users_changes(spark, str(tmp_path))) == want
+    u = p5_users(spark, str(tmp_path)).collect()
+    assert len(u) == 160 and all(r["username"] == f"n{r['id']}" and r["status"] == ("active", "closed", "open")[r["id"] % 3] for r in u)
+    assert all(r["tier"] == str(r["id"] % 4) and r["phone"] == f"84{r['id']:03}77" for r in u if r["_cdc_lsn"] >= 200)
