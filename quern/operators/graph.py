@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import materialize
 
+#: Sum of changes of all ranks between two looks below which page ranks have settled.
+RANK_TOLERANCE = 1e-8
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge once as (a, b) with a < b; loops go."""
@@ -90,22 +93,36 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         state = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components: still changing after {most} rounds")
     root = state.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "v")
     return vertices.join(root, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 50, d: float = 0.85, cut_every: int = 10) -> DataFrame:
-    """(v, rank): (1 - d) / n + d * (incoming + dangling / n); parallel edges count once, weights are not used."""
+def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, cut_every: int = 10) -> DataFrame:
+    """(v, rank): (1 - d) / n + d * (incoming + dangling / n); parallel edges count once, weights are not used.
+
+    Without ``rounds`` it iterates until the ranks settle, looked at each ``cut_every`` rounds; each round shrinks
+    their change by ``d`` at least, so it ends.
+    """
     e = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     v = materialize(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("out")), "v", "left"), "vertices")
     n = v.count()
     r = v.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
+    i, seen = 0, None
+    while n and (rounds is None or i < rounds):
         sent = e.join(r.where("out is not null").select(F.col("v").alias("src"), (F.col("rank") / F.col("out")).alias("s")), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("s").alias("s"))
         dangling = r.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("x"))
         r = v.join(sent, "v", "left").join(F.broadcast(dangling), F.lit(True)).select("v", "out", ((1 - d) / n + d * (F.coalesce("s", F.lit(0.0)) + F.col("x") / n)).alias("rank"))
-        if (i + 1) % cut_every == 0 or i % 2:
+        i += 1
+        if i % cut_every == 0 or i % 2 == 0:
             r = materialize(r, "ranks")
+        if rounds is None and i % cut_every == 0:
+            if seen is not None:
+                moved = r.join(seen, "v").agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0]
+                if moved <= RANK_TOLERANCE:
+                    break
+            seen = r.select("v", F.col("rank").alias("_before"))
     return r.select("v", "rank")
 
 
@@ -120,20 +137,25 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def cascade(exposures: DataFrame, buffers: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def cascade(exposures: DataFrame, buffers: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(v, wave): vertices whose losses from failed debtors exceed their buffer, wave by wave.
 
-    ``exposures`` has src (debtor), dst (creditor), amount; ``buffers`` v, buffer.
+    ``exposures`` has src (debtor), dst (creditor), amount; ``buffers`` v, buffer. It goes on until a wave is empty, and
+    raises if there are more than ``most``.
     """
     failed = materialize(seeds.select("v").distinct().withColumn("wave", F.lit(0)), "failed")
-    for k in range(1, most + 1):
+    k, size = 0, failed.count()
+    while True:
+        k += 1
         loss = exposures.join(failed, F.col("src") == F.col("v"), "left_semi").groupBy(F.col("dst").alias("v")).agg(F.sum("amount").alias("loss"))
         new = loss.join(buffers, "v").where("loss > buffer").join(failed, "v", "left_anti").select("v", F.lit(k).alias("wave"))
         nxt = materialize(failed.unionByName(new), "failed")
-        if nxt.count() == failed.count():
-            break
-        failed = nxt
-    return failed
+        grown = nxt.count()
+        if grown == size:
+            return failed
+        if most is not None and k > most:
+            raise RuntimeError(f"cascade: still spreading after {most} waves")
+        failed, size = nxt, grown
 
 
 def timed_cycles(edges: DataFrame, length: int, span_seconds: int) -> DataFrame:

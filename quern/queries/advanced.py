@@ -56,7 +56,7 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("graph_pagerank")
 def graph_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pagerank(_user_edges(spark, sf), rounds=20)
+    return G.pagerank(_user_edges(spark, sf))
 
 
 @query(
@@ -72,7 +72,7 @@ def graph_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Failures spread from user 1 over exposures weighted by events."""
     e = _user_edges(spark, sf).withColumn("amount", (F.col("src") % 5 + 1).cast("double"))
     v = e.select(F.col("dst").alias("v")).distinct().withColumn("buffer", (F.col("v") % 7).cast("double"))
-    return G.cascade(e, v, spark.createDataFrame([(1,)], "v bigint"), 20)
+    return G.cascade(e, v, spark.createDataFrame([(1,)], "v bigint"))
 
 
 @query(

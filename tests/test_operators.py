@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import delta, graph, layout, provenance as P, quality, sequences, sketches, temporal, versions
@@ -158,3 +159,12 @@ def test_ring_moves_few_keys(spark):
     own = lambda n: {r["k"]: r["owner"] for r in layout.ring_owner(df, "k", n).collect()}
     a, b = own(["x", "y", "z"]), own(["x", "y", "z", "w"])
     assert set(a.values()) == {"x", "y", "z"} and all(b[k] in (a[k], "w") for k in a)
+
+
+def test_cascade_has_no_last_wave(spark):
+    ex = spark.createDataFrame([(i, i + 1, 2.0) for i in range(4)], "src bigint, dst bigint, amount double")
+    buf = spark.createDataFrame([(i, 1.0) for i in range(6)], "v bigint, buffer double")
+    seed = spark.createDataFrame([(0,)], "v bigint")
+    assert graph.cascade(ex, buf, seed).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.cascade(ex, buf, seed, 2)
