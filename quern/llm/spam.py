@@ -1,26 +1,25 @@
 """Keyword-stuffed pages, link lists and tag lists instead of sentences.
 
-Three stages, all over whole texts:
-
-1. Redundancy. Each text is cut into blocks of ``BLOCK`` bytes, each is compressed, and the
-   ratio compressed/raw is averaged over its blocks by length. Short texts compress badly
-   and languages differ, so the ratio is held against the usual one: a line over the
-   logarithm of the size, fitted to all documents, times a factor of the language. A text
-   is flagged if its ratio lies below.
-2. Confirmation. A flagged text must have few ended sentences for its number of words,
-   measured against the mean of its language. A sentence has function words and is not
-   itself built from stuffed word pairs, so "Buy X. Best X?" has none.
-3. Exact check. Logs, tables, settings and code are redundant and without sentences too.
-   So the text's lines and sentences are told apart as sentences, machine text, or
-   keywords, links and tags; the page is a case if the last make up most of it.
-
-The usual values are a handful of numbers, from one aggregate with a row per language
-class. With them the second pass judges each text by itself, without join or shuffle, and
-runs the exact check on flagged texts only.
+One pass over the whole texts measures each page; what is usual is then taken from all pages.
+
+1. Redundancy. The text is cut into blocks of ``BLOCK`` bytes, each is compressed, and the ratio compressed/raw
+   is averaged over the blocks by length. Short texts compress badly and languages differ, so the ratio is held
+   against the pages of the same language and size (in half octaves up to a block): a page is flagged if it lies
+   ``FLAG_AT`` deviations or more below their median. The deviation is taken from the upper quartile, which
+   redundant pages can't widen.
+2. Confirmation. Sentence ends count only where something new ends: within a block, a sentence is fed to one
+   compressor after the other, and what it adds to the output is its cost. One that repeats what came before
+   costs little more than a back reference, so "Buy X. Best X?" has no sentences. A flagged page is confirmed if
+   sentences of that kind hold at most half of its text.
+3. Exact check. Logs, tables, settings, code, change lists and chats are redundant and without sentences too. Their
+   lines are told by form; the page is a case if what is left (neither sentences nor such lines) is most of it.
+
+No list of words decides anything: without the compressor no page would be flagged and every stuffed sentence would
+count as one. The usual values are a row per language and size class (bounded: 3 languages, 2 * log2(BLOCK) + 1 sizes).
 
 Defined cases: rows without id are skipped; a null or empty text, and one of fewer than ``LEAST_WORDS`` words, is no
 case; a null or unknown language is "other"; every copy of a case is a case, since the
-result depends on the text, its language and corpus means alone; an empty
+result depends on the text, its language and corpus values alone; an empty
 table gives no rows; columns other than id, text and language are never read.
 """
 
@@ -30,42 +29,30 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..plans.runtime import materialize
 
 BLOCK = 4096
 LEAST_WORDS = 12
-#: A text is flagged if its ratio is at most this part of what is usual for its size and language,
-RATIO_PART = 0.96
-#: and confirmed if its ended sentences per word are at most this part of the usual sentence ends.
-PUNCT_PART = 1.0
-#: Two content words side by side are stuffed if they occur this often and make up this part of all words.
-STUFFED_LEAST = 4
-STUFFED_PART = 0.02
-#: and only where the ratio is at most this part of the usual one.
-STUFFED_RATIO = 0.8
-#: Least part of the text that must be keywords, links or tags.
+#: A page is flagged at so many deviations below the median of its language and size.
+FLAG_AT = 1.25
+#: Fewer pages than these in a class: the nearest classes of any language join it.
+CLASS_LEAST = 50
+#: A sentence is new if it adds at least so many bytes, and such a part of its length, to the compressed block.
+NEW_BYTES = 12
+NEW_PART = 0.2
+SENTENCE_WORDS = 4
+#: Least part of the text that must be neither sentences nor machine text.
 SPAM_PART = 0.5
 
-_FUNCTION_WORDS = frozenset(
-    """the a an of to in is it and that for on with as at by from this these those be been are was were has have had not no but or
-    if so its their they we you he she will would can could should may might must do does did than then when which who whom what
-    there here our your my i us them into out up down after before once only each all any some because while until since though yet
-    both either whether how why where about between without through over under just still also ever never too very
-    là của và các được cho không này khi đã để một những với trong có thì mà nên vì từ đến ở nhưng cũng sẽ rồi mới hãy trước sau nếu
-    vẫn chúng tôi như bằng ra vào lại còn nào tuy vậy xin đừng trên tại theo bị phải đang mỗi ít nhất do qua về hay hoặc nó họ ai đó
-    đây gì sao thế vài chỉ cả tức ngay luôn nữa trở nên hơn rất""".split()
-)
-_INVISIBLE = re.compile("[​-‏⁠﻿­]")
+_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _LINK = re.compile(
     r"https?://\S+|www\s?(?:\.|\[\.\]|\(dot\)| dot )\s?\S+"
     r"|(?:[a-z0-9-]+\s?(?:\.|\[\.\]|\(\.\)|\s?\(dot\)\s?|\sdot\s|\s?\[dot\]\s?))+\s?(?:test|example|invalid|com|net|org|info|io|vn|biz|co|shop|site|online|xyz|top)\b(?:/\S*)?",
 )
-_TAG = re.compile(r"(?:^|(?<=\s))#[\w-]+")
-_WORD = re.compile(r"[^\W_]+")
-_SENTENCE_END = re.compile(r"[.!?…](?=[\s\"')\]]|$)")
 _MACHINE = re.compile(
     r"""^\s*(?:
       \[?\d{4}-\d\d-\d\d[T\s,]\s*\d\d:\d\d            # dated log line
@@ -84,14 +71,12 @@ _MACHINE = re.compile(
     )""",
     re.X,
 )
-_CRUMBS = re.compile(r"\s[»›>|]\s")
-_PRICE = re.compile(r"^\W*(?:no\.|item|ref|sku|art|mã|code|product|sp)\.?\s?#?\w*\d")
-_ORDINAL = re.compile(r"^\s*\d+[.)]\s+")
-#: No link without one of these; spares the search in plain lines.
-_LINK_HINT = re.compile(r"[/.\])]\w|\bdot\b|www")
-_ENDS = frozenset(".!?…")
+#: An article of a price list, which looks like a table row.
+_ARTICLE = re.compile(r"^\W*(?:no\.|item|ref|sku|art|mã|code|product|sp)\.?\s?#?\w*\d")
 _FIELD = re.compile(r"[,;\t]")
 _NUMBER = re.compile(r"^[\d\s.:/+-]*\d[\d\s.:/+-]*$")
+_SENTENCE_GAP = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_]|\d)")
+_ENDS = frozenset(".!?…")
 
 
 def _is_row(line: str) -> bool:
@@ -102,61 +87,13 @@ def _is_row(line: str) -> bool:
     return sum(bool(_NUMBER.match(f)) for f in fields) >= 0.4 * len(fields)
 
 
-def _split(line: str) -> list[str]:
-    """Sentences of a line; a link's dots don't end one."""
-    return [s for s in re.split(r"(?<=[.!?…])\s+(?=[^\W\d_]|\d)", line) if s.strip()]
-
+def _is_machine(s: str) -> bool:
+    return bool((_MACHINE.match(s) or _is_row(s)) and not _ARTICLE.match(s) and not _LINK.search(s))
 
-def _stuffed_pairs(text: str) -> set[tuple[str, str]]:
-    """Pairs of neighbouring content words that make up an unnatural part of the text."""
-    words = _WORD.findall(text)
-    seen: dict[tuple[str, str], int] = {}
-    for a, b in zip(words, words[1:]):
-        if a not in _FUNCTION_WORDS and b not in _FUNCTION_WORDS and not (a.isdigit() or b.isdigit()):
-            seen[a, b] = seen.get((a, b), 0) + 1
-    least = max(STUFFED_LEAST, STUFFED_PART * len(words))
-    return {p for p, n in seen.items() if n >= least}
 
-
-def shares(text: str, redundant: bool = True) -> tuple[int, int, int, int]:
-    """Characters without spaces in sentences, machine text, and keywords, links and tags; and how many sentences end.
-
-    Word pairs can be stuffed only where the text is ``redundant``.
-    """
-    prose = machine = spam = ended = 0
-    t = _INVISIBLE.sub("", text).replace("\xa0", " ").replace("&amp;", "&").replace("&nbsp;", " ").lower()
-    stuffed = _stuffed_pairs(t) if redundant else set()
-    for line in t.split("\n"):
-        size = len(line) - line.count(" ")
-        if not size:
-            continue
-        line = _ORDINAL.sub("", line)
-        priced, may_link = _PRICE.match(line), _LINK_HINT.search(line)
-        if not priced and (_MACHINE.match(line) or _is_row(line)) and not (may_link and _LINK.search(line)):
-            machine += size
-            continue
-        for s in _split(line):
-            n = len(s) - s.count(" ")
-            plain = _LINK.sub(" ", s) if may_link else s
-            if "#" in plain:
-                plain = _TAG.sub(" ", plain)
-            words = _WORD.findall(plain)
-            fw = sum(w in _FUNCTION_WORDS for w in words) / max(len(words), 1)
-            linked = 1 - (len(plain) - plain.count(" ")) / max(n, 1)
-            hits = sum((a, b) in stuffed for a, b in zip(words, words[1:])) if stuffed else 0
-            end = s.rstrip()[-1:] in _ENDS
-            if linked > 0.5 or hits * 2 >= 0.25 * len(words) > 0:
-                spam += n
-            elif len(words) >= 3 and fw >= 0.15 or end and len(words) >= 4 and fw and s.count(",") < len(words) / 4:
-                prose += n
-                ended += end
-            elif s.lstrip().startswith("#") and not _TAG.match(s.lstrip()):
-                prose += n  # heading
-            elif len(words) < 8 and not linked and not priced and not _CRUMBS.search(s) and s.count(",") < 2 and fw >= 0.1:
-                prose += n
-            else:
-                spam += n
-    return prose, machine, spam, ended
+def normal(text: str) -> str:
+    """Lower case, without invisible characters."""
+    return _INVISIBLE.sub("", text).replace("\xa0", " ").replace("&amp;", "&").replace("&nbsp;", " ").lower()
 
 
 def block_ratio(raw: bytes, block: int = BLOCK) -> float:
@@ -164,17 +101,41 @@ def block_ratio(raw: bytes, block: int = BLOCK) -> float:
     return sum(len(zlib.compress(raw[i : i + block], 1)) for i in range(0, len(raw), block)) / len(raw) if raw else 1.0
 
 
-def _measure(x: object) -> tuple[str, int, float, float]:
-    """Text, words, log2 of the block-bounded size, ratio."""
-    x = x if isinstance(x, str) else ""
-    raw = x.encode("utf-8", "replace")
-    return x, len(x.split()), math.log2(min(max(len(raw), 1), BLOCK)), block_ratio(raw)
+def sentence_costs(text: str, block: int = BLOCK) -> Iterator[tuple[str, int, int]]:
+    """Sentences of all lines with their bytes and what each adds to the compressed block it lies in."""
+    packer, filled = zlib.compressobj(1, zlib.DEFLATED, -15), 0
+    for line in text.split("\n"):
+        for s in _SENTENCE_GAP.split(line):
+            if s and not s.isspace():
+                if filled >= block:
+                    packer, filled = zlib.compressobj(1, zlib.DEFLATED, -15), 0
+                raw = s.encode("utf-8", "replace")
+                filled += len(raw)
+                # less the mark of five bytes that ends each piece
+                yield s, len(raw), len(packer.compress(raw)) + len(packer.flush(zlib.Z_SYNC_FLUSH)) - 5
+
+
+def measures(text: object) -> tuple[int, int, float, float, float, float]:
+    """Words, size class, block ratio, parts of the text in new sentences and in machine lines, new sentence ends a word."""
+    t = normal(text) if isinstance(text, str) else ""
+    words = len(t.split())
+    raw = t.encode("utf-8", "replace")
+    size_class = round(2 * math.log2(min(max(len(raw), 1), BLOCK)))
+    if words < LEAST_WORDS:
+        return words, size_class, 1.0, 0.0, 0.0, 0.0
+    total = sound = machine = ends = 0
+    for s, n, cost in sentence_costs(t):
+        size = len(s) - s.count(" ")
+        total += size
+        if s.rstrip()[-1] in _ENDS and cost >= NEW_BYTES + NEW_PART * n and len(s.split()) >= SENTENCE_WORDS:
+            sound += size
+            ends += 1
+        elif _is_machine(s):
+            machine += size
+    return words, size_class, block_ratio(raw), sound / max(total, 1), machine / max(total, 1), ends / words
 
 
-def _measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        m = [(w, size, r, len(_SENTENCE_END.findall(x)) / max(w, 1)) for x, w, size, r in map(_measure, b["text"])]
-        yield pd.concat([b[["lang"]].reset_index(drop=True), pd.DataFrame(m, columns=["n_words", "log_size", "ratio", "ends"]).astype({"n_words": "int64"})], axis=1)
+_MEASURED = "doc_id bigint, lang string, n_words bigint, size_class int, ratio double, sentence_part double, machine_part double, ends_per_word double"
 
 
 def language(c: Column, known: tuple[str, ...] = ("en", "vi")) -> Column:
@@ -182,64 +143,43 @@ def language(c: Column, known: tuple[str, ...] = ("en", "vi")) -> Column:
     return F.when(x.isin(*known), x).otherwise("other")
 
 
-@dataclass(frozen=True)
-class Usual:
-    """What is usual in a corpus: the line of the ratio over log2 of the size, and factors of the languages."""
+def measured(docs: DataFrame) -> DataFrame:
+    """A narrow row of measures per document, from the only pass over the texts."""
 
-    slope: float
-    start: float
-    lang_ratio: dict[str, float]
-    lang_ends: dict[str, float]
-
-    def ratio(self, lang: str, log_size: float) -> float:
-        return (self.start + self.slope * log_size) * self.lang_ratio.get(lang, 1.0)
-
-
-def usual_measures(docs: DataFrame) -> Usual:
-    """Fitted over all documents of at least ``LEAST_WORDS`` words by one aggregate of three rows.
-
-    The line is drawn through the whole corpus; a language departs from it by the quotient of its
-    mean ratio and the line at its mean size, drawn to 1 where it has few pages.
-    """
-    src = docs.select("text", language(F.col("lang")).alias("lang"))
-    m = src.mapInPandas(_measures, "lang string, n_words long, log_size double, ratio double, ends double").where(F.col("n_words") >= LEAST_WORDS)
-    x, y = F.col("log_size"), F.col("ratio")
-    rows = m.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum("ends").alias("e")).collect()
-    if not rows:
-        return Usual(0.0, 1.0, {}, {})
-    n, sx, sy, sxx, sxy, se = (sum(r[k] for r in rows) for k in ("n", "x", "y", "xx", "xy", "e"))
-    spread = n * sxx - sx * sx
-    slope = (n * sxy - sx * sy) / spread if spread > 1e-9 * n * n else 0.0
-    start = (sy - slope * sx) / n
-
-    def drawn(r: Row, q: float) -> float:
-        return 1 + r["n"] / (r["n"] + 50) * (q - 1)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = pd.DataFrame([measures(x) for x in b["text"]], columns=["n_words", "size_class", "ratio", "sentence_part", "machine_part", "ends_per_word"])
+            yield pd.concat([b[["doc_id", "lang"]].reset_index(drop=True), m], axis=1)
 
-    return Usual(slope, start, {r["lang"]: drawn(r, r["y"] / (start * r["n"] + slope * r["x"])) for r in rows}, {r["lang"]: se / n * drawn(r, r["e"] / r["n"] / max(se / n, 1e-9)) for r in rows})
+    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), language(F.col("lang")).alias("lang"), "text")
+    return src.mapInPandas(rows, _MEASURED)
 
 
-def judged_pages(docs: DataFrame, usual: Usual | None = None) -> DataFrame:
-    """doc_id, part_of_usual (ratio against the usual one), flagged, confirmed, spam_part, is_spam: a row per document.
+def usual_ratios(m: DataFrame) -> DataFrame:
+    """lang, size_class, median, deviation: what is usual for a language and size.
 
-    Without joins or shuffles: the usual values are a handful of numbers. ``spam_part`` is
-    null where the text isn't flagged, since the exact check isn't needed there.
+    The classes are collected: at most languages times sizes, whatever the corpus.
     """
-    u = usual or usual_measures(docs)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, lang, text in zip(b["doc_id"], b["lang"], b["text"]):
-                x, words, size, ratio = _measure(text)
-                part = ratio / max(u.ratio(lang, size), 1e-3)
-                flagged = words >= LEAST_WORDS and part <= RATIO_PART
-                confirmed, spam = False, None
-                if flagged:
-                    p, m, s, e = shares(x, part <= STUFFED_RATIO)
-                    confirmed = e / words <= PUNCT_PART * u.lang_ends.get(lang, 1.0)
-                    spam = s / max(p + m + s, 1)
-                out.append((doc, part, flagged, confirmed, spam, bool(confirmed and spam > SPAM_PART)))
-            yield pd.DataFrame(out, columns=["doc_id", "part_of_usual", "flagged", "confirmed", "spam_part", "is_spam"]).astype({"spam_part": "float64"})
-
-    src = docs.where("doc_id is not null").select("doc_id", language(F.col("lang")).alias("lang"), "text")
-    return src.mapInPandas(judge, "doc_id long, part_of_usual double, flagged boolean, confirmed boolean, spam_part double, is_spam boolean")
+    q = F.percentile_approx("ratio", F.array(F.lit(0.5), F.lit(0.75)), 10_000)
+    rows = m.where(F.col("n_words") >= LEAST_WORDS).groupBy("lang", "size_class").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).collect()
+    out = []
+    for r in rows:
+        near, reach = [r], 0
+        while sum(x["n"] for x in near) < CLASS_LEAST and len(near) < len(rows):
+            reach += 1
+            near = [x for x in rows if x is r or abs(x["size_class"] - r["size_class"]) < reach]
+        n = sum(x["n"] for x in near)
+        median = sum(x["n"] * x["q"][0] for x in near) / n
+        out.append((r["lang"], r["size_class"], median, 1.4826 * sum(x["n"] * (x["q"][1] - x["q"][0]) for x in near) / n + 1e-3))
+    return m.sparkSession.createDataFrame(out, "lang string, size_class int, median double, deviation double")
+
+
+def judged_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, deviations (below the usual ratio, positive is redundant), flagged, confirmed, spam_part, is_spam: a row per document."""
+    m = materialize(measured(docs), "measures")
+    j = m.join(F.broadcast(usual_ratios(m)), ["lang", "size_class"], "left")
+    below = F.coalesce((F.col("median") - F.col("ratio")) / F.col("deviation"), F.lit(0.0))
+    flagged = (F.col("n_words") >= LEAST_WORDS) & (below >= FLAG_AT)
+    confirmed = flagged & (F.col("sentence_part") <= 1 - SPAM_PART)
+    spam = 1 - F.col("sentence_part") - F.col("machine_part")
+    return j.select("doc_id", below.alias("deviations"), flagged.alias("flagged"), confirmed.alias("confirmed"), spam.alias("spam_part"), (confirmed & (spam > SPAM_PART)).alias("is_spam"))
