@@ -18,15 +18,33 @@ def best_fit(sizes, cap):
     return sorted(gaps)
 
 
-def test_runs_give_the_gaps_of_best_fit_item_by_item():
+def test_matching_is_the_successor_of_each_item(spark):
+    """Against a stack over all slots and items, in one range and in many."""
     rnd = random.Random(5)
-    for cap in (10, 64, 300):
-        for _ in range(20):
-            sizes = [rnd.randint(1, cap) if rnd.random() < 0.7 else rnd.randint(1, 5) for _ in range(rnd.randint(1, 150))]
-            runs = [(s, sizes.count(s)) for s in set(sizes)]
-            places, left, n = P.pack_runs(runs, cap)
-            gaps = sorted(g for _, c, g in left for _ in range(c))
-            assert gaps == best_fit(sizes, cap) and len(gaps) == n
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    for n_slots, n_items in ((40, 60), (60, 40), (0, 5), (7, 0)):
+        slots = [("p", k, rnd.randint(1, 30), rnd.randint(30, 40)) for k in range(n_slots)] + [("q", 500 + k, 9, 9) for k in range(3)]
+        items = [("p", k, k, rnd.randint(1, 30)) for k in range(n_items)] + [("q", 900 + k, k, 9) for k in range(5)]
+        got = P.matched(spark.createDataFrame(items, "pack_name string, item bigint, doc_id bigint, size bigint"), spark.createDataFrame(slots, "pack_name string, cont bigint, size bigint, gap bigint")).collect()
+        stack, want = [], {}
+        rows = sorted([(p, -s, 0, -g, c, 0, 0) for p, c, s, g in slots] + [(p, -s, 1, 1, -1, d, i) for p, i, d, s in items])
+        for k, (p, s, kind, _, c, _, i) in enumerate(rows):
+            if k and p != rows[k - 1][0]:
+                stack = []
+            if kind == 0:
+                stack.append(c)
+            else:
+                want[i] = stack.pop() if stack else None
+        assert {r["item"]: r["cont"] for r in got} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+def test_fill_is_close_to_best_fit_item_by_item(spark):
+    rnd = random.Random(6)
+    for cap, high in ((64, 64), (300, 90), (20, 20)):
+        data = [(i, min(high, 1 + int(rnd.expovariate(4 / high)))) for i in range(600)]
+        d = run(spark, data, [("s", cap, "x")])
+        assert d.container.nunique() <= 1.02 * len(best_fit([n for _, n in data], cap)) + 1
 
 
 def run(spark, data, packs):
