@@ -5,13 +5,14 @@ partition has a fingerprint: its row count and the sum of its row hashes. Both a
 additive, so they are computed by one map-side combined aggregate, don't depend on row
 order, and their shuffle has a row per partition and task. Only partitions whose
 fingerprint differs from the stored one are read again, recomputed, and replaced
-atomically by dynamic partition overwrite. Fingerprints are published after the data: a
+by dynamic partition overwrite. A touched partition always gets a row of nulls beside its own, so one that
+is gone, or for which nothing is left, is emptied by the same overwrite; readers don't see that row. Fingerprints are published after the data: a
 run that dies in between leaves the old fingerprints, so the next run does the same
 partitions again, with the same result.
 
 Defined cases: null key or hash columns are hashed as nulls and count; a null partition
-value is a partition of its own; repeated rows count as often as they occur; an empty
-source has no partitions, so every stored one is removed; clashing column names are
+value is a partition of its own (an empty text counts as null there, as in any folder of partitions); repeated rows count as often as they occur; an empty
+source has no partitions, so every stored one is emptied; clashing column names are
 impossible because all own columns begin with ``_fp_``.
 """
 
@@ -21,19 +22,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.runtime import materialize
+from ..plans.runtime import broadcast_if_small, materialize, scratch
 
 
-def fingerprints(df: DataFrame, parts: list[str], columns: list[str] | None = None, where: Column | None = None, prefix: str = "_fp_") -> DataFrame:
+def _sums(columns: list[str], where: Column | None, prefix: str) -> list[Column]:
+    h = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(20,0)")
+    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    return [F.count_if(on).alias(f"{prefix}n"), F.coalesce(F.sum(F.when(on, h)), F.lit(0)).cast("decimal(38,0)").alias(f"{prefix}h")]
+
+
+def fingerprints(df: DataFrame, parts: list[str], columns: list[str] | None = None) -> DataFrame:
     """One row per partition: ``_fp_n`` rows and ``_fp_h``, the sum of their 64-bit hashes.
 
-    The sum is a decimal of 38 digits: exact up to 10**19 rows, so the order of addition
-    can't change it. ``where`` restricts what is counted, not which partitions appear.
+    The sum is a decimal of 38 digits: exact up to 10**19 rows, so the order of addition can't change it.
     """
-    cols = columns or [c for c in df.columns if c not in parts]
-    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(20,0)")
-    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    return df.groupBy(*parts).agg(F.count_if(on).alias(f"{prefix}n"), F.coalesce(F.sum(F.when(on, h)), F.lit(0)).cast("decimal(38,0)").alias(f"{prefix}h"))
+    return df.groupBy(*parts).agg(*_sums(columns or [c for c in df.columns if c not in parts], None, "_fp_"))
 
 
 def changed_partitions(current: DataFrame, stored: DataFrame, parts: list[str]) -> DataFrame:
@@ -73,32 +76,33 @@ class IncrementalTable:
         v = self.version()
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/state/v={v}") if v else like.limit(0)
 
+    def publish(self, state: DataFrame) -> None:
+        """Store fingerprints as what has been processed."""
+        state.write.mode("overwrite").parquet(f"{self.root}/state/v={self.version() + 1}")
+
     def read(self) -> DataFrame:
         r = self.spark.read
-        return (r.schema(self.schema) if self.schema else r).parquet(f"{self.root}/data")
+        return (r.schema(self.schema) if self.schema else r).parquet(f"{self.root}/data").where("_fp_live").drop("_fp_live")
 
-    def refresh(self, source: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, fail_before_commit: bool = False) -> DataFrame:
+    def refresh(self, source: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str] | None = None, fail_before_commit: bool = False, now: DataFrame | None = None) -> DataFrame:
         """Recompute what changed; returns the partitions touched with their state.
 
         ``compute`` gets all source rows of the touched partitions and must give rows that
-        have the partition columns. ``fail_before_commit`` stops between data and state, as
+        have the partition columns. ``now`` has the fingerprints of the source if they are known already. ``fail_before_commit`` stops between data and state, as
         a crash there would (for tests).
         """
-        now = materialize(fingerprints(source, self.parts, columns), "fingerprints")
+        now = materialize(fingerprints(source, self.parts, columns), "fingerprints") if now is None else now
         touched = materialize(changed_partitions(now, self.stored(now), self.parts), "touched")
-        live = touched.where("_fp_state <> 'gone'")
-        on = [source[p].eqNullSafe(live[p]) for p in self.parts]
-        rows = source.join(live, on, "left_semi")
-        out = compute(rows)
+        live = touched.where("_fp_state <> 'gone'").select(*[F.col(p).alias(f"_fp_{p}") for p in self.parts])
+        on = [source[p].eqNullSafe(live[f"_fp_{p}"]) for p in self.parts]
+        out = compute(source.join(broadcast_if_small(live, base=touched), on, "left_semi")).withColumn("_fp_live", F.lit(True))
+        out = out.unionByName(touched.select(*self.parts, F.lit(False).alias("_fp_live")), allowMissingColumns=True)
         out = out.select(*[c for c in out.columns if c not in self.parts], *self.parts)
         self.schema = out.schema
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.root}/data")
-        fs, path = self._fs()
-        for r in touched.where("_fp_state = 'gone'").select(*self.parts).toLocalIterator():
-            fs.delete(path(f"{self.root}/data/" + "/".join(f"{p}={'__HIVE_DEFAULT_PARTITION__' if r[p] is None else r[p]}" for p in self.parts)), True)
+        out.hint("rebalance", *self.parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.root}/data")
         if fail_before_commit:
             raise RuntimeError("stopped before the state was published")
-        now.write.mode("overwrite").parquet(f"{self.root}/state/v={self.version() + 1}")
+        self.publish(now)
         return touched
 
 
@@ -140,17 +144,22 @@ def mark_taken(rows: DataFrame, runs: DataFrame) -> DataFrame:
 def pending_changes(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Changes (source, record_id, updated_at) that no successful run has taken.
 
-    The fingerprint of a day over all its rows is held against that over the rows taken;
-    where both agree nothing is open. Only the other days are read again and compared
-    change by change: a change is taken if any of its rows was. Rows without updated_at
-    are no changes; a row without ingested_at can't have been taken.
+    What the runs left behind is a table of open changes by source and day, with the fingerprints of the rows they
+    took. It is refreshed with all rows: days whose fingerprint is still the stored one have nothing open; the other
+    days are read again, compared change by change, and replaced. A change is taken if any of its rows was. Rows
+    without updated_at are no changes; a row without ingested_at can't have been taken.
     """
     marked = mark_taken(rows.where("updated_at is not null"), runs)
     parts, cols = ["source", "_fp_day"], ["record_id", "updated_at", "ingested_at"]
-    both = fingerprints(marked, parts, cols).join(fingerprints(marked, parts, cols, F.col("_fp_taken"), "_tk_"), parts)
-    open_days = both.where("_fp_n <> _tk_n or _fp_h <> _tk_h").select(*parts)
-    per_change = marked.join(open_days, parts, "left_semi").groupBy("source", "record_id", "updated_at").agg(F.max("_fp_taken").alias("_t"))
-    return per_change.where("not _t").drop("_t")
+    both = materialize(marked.groupBy(*parts).agg(*_sums(cols, None, "_fp_"), *_sums(cols, F.col("_fp_taken"), "_tk_")), "fingerprints")
+    t = IncrementalTable(rows.sparkSession, scratch(rows.sparkSession, "open-changes"), parts)
+    t.publish(both.where("_tk_n > 0").select(*parts, F.col("_tk_n").alias("_fp_n"), F.col("_tk_h").alias("_fp_h")))
+
+    def still_open(r: DataFrame) -> DataFrame:
+        return r.groupBy(*parts, "record_id", "updated_at").agg(F.max("_fp_taken").alias("_t")).where("not _t").drop("_t")
+
+    t.refresh(marked, still_open, cols, now=both.select(*parts, "_fp_n", "_fp_h"))
+    return t.read().select("source", "record_id", "updated_at")
 
 
 def next_watermarks(runs: DataFrame, pending: DataFrame, sources: list[str]) -> DataFrame:

@@ -67,3 +67,24 @@ def test_refresh_touches_only_changed_partitions_and_survives_a_crash(spark):
     assert t.refresh(changed, compute).count() == 0
     t.refresh(src([("c", 7)]), compute)
     assert read() == [("c", 7)]
+
+
+def test_a_changed_partition_without_rows_and_a_gone_one_are_emptied(spark):
+    t = I.IncrementalTable(spark, scratch(spark, "t"), ["day"])
+    src = lambda rows: spark.createDataFrame(rows, "day string, v int")
+    compute = lambda d: d.where("v > 0")
+    read = lambda: sorted((r["day"], r["v"]) for r in t.read().collect())
+    t.refresh(src([("a", 1), ("b:x", 2), ("c%20=d", 3)]), compute)
+    assert read() == [("a", 1), ("b:x", 2), ("c%20=d", 3)]
+    t.refresh(src([("a", -1), ("c%20=d", 3)]), compute)
+    assert read() == [("c%20=d", 3)]
+    t.refresh(src([]), compute)
+    assert read() == []
+
+
+def test_null_partition(spark):
+    t = I.IncrementalTable(spark, scratch(spark, "t"), ["day"])
+    src = lambda rows: spark.createDataFrame(rows, "day string, v int")
+    t.refresh(src([(None, 1), ("a", 2)]), lambda d: d)
+    t.refresh(src([("a", 2)]), lambda d: d)
+    assert [(r["day"], r["v"]) for r in t.read().collect()] == [("a", 2)]
