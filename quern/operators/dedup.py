@@ -2,7 +2,7 @@
 
 Identifiers are split by frequency. One map-side combined aggregate counts each
 identifier and finds its first row; identifiers that occur once pass directly, and only
-the rows of repeated ones are ranked. Identifiers that hold a large part of all rows are
+the rows of repeated ones are ranked. Identifiers that hold a large part of those rows are
 at most ``HOT_SHARES`` in number, whatever the data, so those (and only those) are
 broadcast: their rows are never gathered in one task.
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: An identifier is hot if it has at least 1/HOT_SHARES of all rows; so there are at most so many.
+from ..plans.runtime import materialize
+
+#: An identifier is hot if it has at least 1/HOT_SHARES of the rows of repeated ones; so there are at most so many.
 HOT_SHARES = 200
 #: Below this many rows no identifier counts as hot.
 HOT_LEAST = 50_000
@@ -34,11 +36,15 @@ def frequencies(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dd_n"), F.min(order).alias("_dd_first"))
 
 
-def repeated_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The rows of identifiers that occur more than once, with ``_dd_first``."""
-    total = df.count()
+def repeated_keys(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Identifiers that occur more than once, stored: they are needed for more than one join."""
+    return materialize(frequencies(df, keys, order).where("_dd_n > 1"), "repeated")
+
+
+def repeated_rows(df: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """The rows of ``repeated`` identifiers, with ``_dd_first``; hot ones by broadcast, so none is gathered."""
+    total = repeated.agg(F.sum("_dd_n")).first()[0] or 0
     hot_from = max(HOT_LEAST, total // HOT_SHARES)
-    repeated = frequencies(df, keys, order).where("_dd_n > 1")
     cool = df.join(repeated.where(F.col("_dd_n") < hot_from).drop("_dd_n"), keys)
     if total < hot_from:
         return cool
@@ -47,18 +53,17 @@ def repeated_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """All rows but the first of each identifier. ``order`` must be unique within it."""
-    r = repeated_rows(df, keys, order)
-    return r.where(F.col(order) > F.col("_dd_first")).select(*df.columns)
+    """All rows but the first of each identifier. ``order`` must be unique within it; a null in it comes last."""
+    r = repeated_rows(df, keys, repeated_keys(df, keys, order))
+    return r.where(F.coalesce(F.col(order) > F.col("_dd_first"), F.col("_dd_first").isNotNull())).select(*df.columns)
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Exactly one row per identifier, the first by ``order``; rows without one are all kept."""
-    once = frequencies(df, keys, order).where("_dd_n = 1").select(*keys)
-    singles = df.join(once, keys, "left_semi")
-    first = repeated_rows(df, keys, order).where((F.col(order) == F.col("_dd_first")) | (F.col(order).isNull() & F.col("_dd_first").isNull()))
+    repeated = repeated_keys(df, keys, order)
+    passed = df.join(repeated.select(*keys), keys, "left_anti")  # singletons, and rows with a null in the identifier
+    first = repeated_rows(df, keys, repeated).where((F.col(order) == F.col("_dd_first")) | (F.col(order).isNull() & F.col("_dd_first").isNull()))
     rest = [c for c in df.columns if c not in keys]
     w = Window.partitionBy(*keys).orderBy(F.hash(*rest), *rest) if rest else Window.partitionBy(*keys).orderBy(*keys)
-    winners = first.withColumn("_dd_r", F.row_number().over(w)).where("_dd_r = 1").select(*df.columns)
-    without = df.where(" or ".join(f"`{k}` is null" for k in keys))
-    return singles.select(*df.columns).unionByName(winners).unionByName(without)
+    winners = first.withColumn("_dd_r", F.row_number().over(w)).where("_dd_r = 1")
+    return passed.select(*df.columns).unionByName(winners.select(*df.columns))

@@ -34,3 +34,9 @@ def test_hot_identifier_takes_the_broadcast_path(spark, monkeypatch):
         if first.setdefault(k, i) != i:
             expected.add(i)
     assert got == expected and D.deduplicate(df, ["k"], "id").count() == len(first)
+
+
+def test_null_order_comes_last(spark):
+    df = spark.createDataFrame([(None, "a", 1, "x"), (2, "a", 1, "y"), (None, "b", 1, "z")], SCHEMA)
+    assert [r["note"] for r in D.duplicates(df, ["k"], "id").collect()] == ["x"]
+    assert sorted(r["note"] for r in D.deduplicate(df, ["k"], "id").collect()) == ["y", "z"]
