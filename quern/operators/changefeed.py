@@ -5,8 +5,9 @@ the last position that deleted it, the last position that replaced the whole row
 (create, read or delete), and for each column the last value set with its position. Two
 patches compose by taking the greater of each part. That is associative, commutative and
 idempotent, so repeated and out-of-order deliveries do no harm and the composition may be
-reduced as a tree: within a task, then by (key, chunk of the log), then by key. A key
-that holds a third of the feed is spread over its chunks, and the last step sees one row per chunk.
+reduced as a tree: within a task, then by (key, chunk of the log), then by key. The chunks are ranges of
+positions that hold about as many operations each, so a key
+that holds a third of the feed is spread over a third of all chunks at least, and the last step sees one row per chunk.
 
 Defined cases: rows without key or position are not applied; operation letters count in
 either case, other or null operations are taken as updates; if a delete and another
@@ -19,57 +20,78 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Default length of a chunk of the log, in positions.
-CHUNK = 1 << 22
+from ..plans.runtime import materialize
 
+#: Ranges of the log that are composed by themselves before keys are brought together.
+CHUNKS = 64
 
-def _op(op: str) -> Column:
-    return F.lower(F.trim(F.coalesce(F.col(op), F.lit("u"))))
 
+def chunk_bounds(feed: DataFrame, pos: str, chunks: int = CHUNKS) -> list[int]:
+    """Positions that part the log into ranges of about as many operations each. Where they lie can't change a result."""
+    if chunks < 2:
+        return []
+    q = feed.agg(F.percentile_approx(F.col(pos).cast("bigint"), F.array(*[F.lit(k / chunks) for k in range(1, chunks)]), 1000)).first()[0]
+    return sorted(set(q or []))
 
-def last_positions(feed: DataFrame, key: list[str], op: str, pos: str, chunk: int = CHUNK) -> DataFrame:
-    """Composition of the patches' positions: per key ``_live`` and ``_dead``.
 
-    Both are longs, so every level of the tree is a hash aggregate in memory.
-    """
-    f = feed.where(" and ".join(f"`{c}` is not null" for c in [*key, pos]))
-    dead = _op(op) == "d"
-    p = F.col(pos).cast("bigint")
-    by_chunk = f.groupBy(*key, F.floor(p / F.lit(chunk)).alias("_chunk")).agg(F.max(F.when(~dead, p)).alias("_live"), F.max(F.when(dead, p)).alias("_dead"))
-    return by_chunk.groupBy(*key).agg(F.max("_live").alias("_live"), F.max("_dead").alias("_dead"))
+def chunk_of(p: Column, bounds: list[int], first: int = 0) -> Column:
+    """Number of the range a position lies in, by halving."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(p < bounds[m], chunk_of(p, bounds[:m], first)).otherwise(chunk_of(p, bounds[m + 1 :], first + m + 1))
 
 
-def alive(feed: DataFrame, key: list[str], op: str, pos: str, chunk: int = CHUNK) -> DataFrame:
-    """Keys that exist after all changes, with the position of their last change as ``last_pos``."""
-    s = last_positions(feed, key, op, pos, chunk)
-    return s.where("_live is not null and (_dead is null or _live > _dead)").select(*key, F.col("_live").alias("last_pos"))
+def _op(op: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.col(op), F.lit("u"))))
 
 
-def apply_changes(base: DataFrame | None, feed: DataFrame, key: list[str], op: str, pos: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
-    """The present state: key, ``columns`` and ``last_pos``; ``base`` is the state before the feed."""
+def composed(feed: DataFrame, key: list[str], op: str, pos: str, columns: list[str], bounds: list[int]) -> DataFrame:
+    """One patch per key: ``_live``, ``_dead``, ``_reset`` and a ``_v_`` struct (position, value) per column."""
     f = feed.where(" and ".join(f"`{c}` is not null" for c in [*key, pos]))
     o, p = _op(op), F.col(pos).cast("bigint")
     dead, whole = o == "d", o.isin("c", "r", "d")
-    typed = {x.name: x.dataType for x in feed.schema}
 
     def part(c: str) -> Column:
         # on equal positions the greater value counts, so repeated rows can't change the outcome
         return F.max(F.when(~dead & F.col(c).isNotNull(), F.struct(p.alias("p"), F.col(c).alias("v")))).alias(f"_v_{c}")
 
-    first = f.groupBy(*key, F.floor(p / F.lit(chunk)).alias("_chunk")).agg(
-        F.max(F.when(~dead, p)).alias("_live"), F.max(F.when(dead, p)).alias("_dead"), F.max(F.when(whole, p)).alias("_reset"), *[part(c) for c in columns]
-    )
-    patch = first.groupBy(*key).agg(*[F.max(c).alias(c) for c in ["_live", "_dead", "_reset", *[f"_v_{c}" for c in columns]]])
+    own = [F.max(F.when(~dead, p)).alias("_live"), F.max(F.when(dead, p)).alias("_dead"), F.max(F.when(whole, p)).alias("_reset"), *[part(c) for c in columns]]
+    by_chunk = f.groupBy(*key, chunk_of(p, bounds).alias("_chunk")).agg(*own)
+    return by_chunk.groupBy(*key).agg(*[F.max(c).alias(c) for c in ["_live", "_dead", "_reset", *[f"_v_{c}" for c in columns]]])
+
+
+def apply_changes(base: DataFrame | None, feed: DataFrame, key: list[str], op: str, pos: str, columns: list[str], chunks: int = CHUNKS, bounds: list[int] | None = None) -> DataFrame:
+    """The present state: key, ``columns`` and ``last_pos``; ``base`` is the state before the feed.
+
+    Rows that the feed doesn't touch keep the ``last_pos`` of the base, if it has one.
+    """
+    patch = composed(feed, key, op, pos, columns, chunk_bounds(feed, pos, chunks) if bounds is None else bounds)
+    typed = {x.name: x.dataType for x in feed.schema}
+
+    def fresh(c: str) -> Column:
+        return F.when(F.col("_reset").isNull() | (F.col(f"_v_{c}.p") >= F.col("_reset")), F.col(f"_v_{c}.v"))
+
+    lives = F.col("_live").isNotNull() & (F.col("_dead").isNull() | (F.col("_live") > F.col("_dead")))
     if base is None:
-        rows = patch.where("_live is not null and (_dead is null or _live > _dead)")
-        return rows.select(*key, *[F.when(F.col("_reset").isNull() | (F.col(f"_v_{c}.p") >= F.col("_reset")), F.col(f"_v_{c}.v")).cast(typed[c]).alias(c) for c in columns], F.col("_live").alias("last_pos"))
-    b = base.select(*key, *[F.col(c).alias(f"_b_{c}") for c in columns], F.lit(True).alias("_had"))
+        return patch.where(lives).select(*key, *[fresh(c).cast(typed[c]).alias(c) for c in columns], F.col("_live").alias("last_pos"))
+    last = F.col("last_pos") if "last_pos" in base.columns else F.lit(None)
+    b = base.select(*key, *[F.col(c).alias(f"_b_{c}") for c in columns], last.cast("bigint").alias("_b_last"), F.lit(True).alias("_had"))
     j = b.join(patch, key, "full_outer")
-    touched = F.col("_live").isNotNull() | F.col("_dead").isNotNull()
-    stays = (~touched & F.col("_had")) | (F.col("_live").isNotNull() & (F.col("_dead").isNull() | (F.col("_live") > F.col("_dead"))))
+    stays = lives | (F.col("_live").isNull() & F.col("_dead").isNull() & F.col("_had"))
 
     def value(c: str) -> Column:
-        fresh = F.when(F.col("_reset").isNull() | (F.col(f"_v_{c}.p") >= F.col("_reset")), F.col(f"_v_{c}.v"))
-        return F.when(F.col("_reset").isNull(), F.coalesce(fresh, F.col(f"_b_{c}"))).otherwise(fresh).cast(typed[c]).alias(c)
+        return F.when(F.col("_reset").isNull(), F.coalesce(fresh(c), F.col(f"_b_{c}"))).otherwise(fresh(c)).cast(typed[c]).alias(c)
+
+    return j.where(F.coalesce(stays, F.lit(False))).select(*key, *[value(c) for c in columns], F.coalesce("_live", "_b_last").alias("last_pos"))
 
-    return j.where(F.coalesce(stays, F.lit(False))).select(*key, *[value(c) for c in columns], F.col("_live").alias("last_pos"))
+
+def rebuilt(feed: DataFrame, key: list[str], op: str, pos: str, columns: list[str], chunks: int = CHUNKS) -> DataFrame:
+    """The present state from nothing but the feed: the first half of the log gives the base, to which the second is applied."""
+    bounds = chunk_bounds(feed, pos, chunks)
+    if not bounds:
+        return apply_changes(None, feed, key, op, pos, columns, bounds=[])
+    cut = bounds[len(bounds) // 2]
+    p = F.col(pos).cast("bigint")
+    base = materialize(apply_changes(None, feed.where(p < cut), key, op, pos, columns, bounds=[x for x in bounds if x < cut]), "base")
+    return apply_changes(base, feed.where(p >= cut), key, op, pos, columns, bounds=[x for x in bounds if x > cut])

@@ -134,9 +134,22 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     return s.unionByName(c)
 
 
+def restated(spark: SparkSession, sf: str) -> late.RestatedPeriods:
+    """Both event tables taken in as two batches: the first nine tenths of the arrivals by time, then the rest."""
+    rows = event_rows(spark, sf)
+    lo, hi = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    t = late.RestatedPeriods(spark, scratch(spark, "p4"), load(spark, sf, "lateness_limits"))
+    cut = F.lit(lo + (hi - lo) * 0.9 if lo else None).cast("timestamp_ntz")
+    later = F.coalesce(F.col("arrival") > cut, F.lit(False))
+    t.apply(rows.where(~later), "amount")
+    t.apply(rows.where(later), "amount")
+    return t
+
+
 @query("p4_found", _P4_ROWS + "select table_name, row_id, verdict from judged where verdict <> 'on_time'")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return late.late_rows(event_rows(spark, sf), load(spark, sf, "lateness_limits")).select("table_name", "row_id", "verdict")
+    """The verdicts as the restated partitions have them."""
+    return restated(spark, sf).retained().where("verdict <> 'on_time'").select("table_name", "row_id", "verdict")
 
 
 @query(
@@ -147,17 +160,7 @@ cast(sum(try_cast(nullif(regexp_extract(payload, '"amount"\s*:\s*(-?[0-9]+)', 1)
 from judged where verdict <> 'too_late' group by 1, 2, 3""",
 )
 def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """The restated table after two batches: the first half of the arrivals by time, then the rest."""
-    rows = event_rows(spark, sf)
-    lo, hi = rows.agg(F.min("arrival"), F.max("arrival")).first()
-    t = late.RestatedPeriods(spark, scratch(spark, "p4"), load(spark, sf, "lateness_limits"))
-    if lo is None:
-        return spark.createDataFrame([], "table_name string, topic string, period_start bigint, n_rows bigint, n_first bigint, n_corrections bigint, total bigint")
-    mid = F.lit(lo + (hi - lo) * 0.9)
-    first, rest = rows.where(F.col("arrival") <= mid), rows.where(F.col("arrival") > mid)
-    t.apply(first, first, "amount")
-    t.apply(rows, rest, "amount")
-    return t.read().select("table_name", "topic", "period_start", "n_rows", "n_first", "n_corrections", "total")
+    return restated(spark, sf).read().select("table_name", "topic", "period_start", "n_rows", "n_first", "n_corrections", "total")
 
 
 # ---------------------------------------------------------------- p5
@@ -245,8 +248,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     def feed(t: str) -> DataFrame:
         return load(spark, sf, t).select(F.lit(t).alias("table_name"), "id", "_cdc_op", F.col("_cdc_lsn").cast("bigint").alias("_cdc_lsn"))
 
-    live = changefeed.alive(feed("dim_users").unionByName(feed("fact_orders")), ["table_name", "id"], "_cdc_op", "_cdc_lsn")
-    return live.select("table_name", F.col("id").alias("record_id"), F.col("last_pos").alias("last_lsn"))
+    parts = [changefeed.rebuilt(feed(t), ["table_name", "id"], "_cdc_op", "_cdc_lsn", []) for t in ("dim_users", "fact_orders")]
+    return parts[0].unionByName(parts[1]).select("table_name", F.col("id").alias("record_id"), F.col("last_pos").alias("last_lsn"))
 
 
 def _state_sql(table: str, columns: list[str]) -> str:
@@ -262,9 +265,9 @@ _ORDER_COLUMNS = ["user_id", "status", "total_amount", "currency"]
 
 @query("p7_users_state", _state_sql("dim_users", _USER_COLUMNS))
 def p7_users_state(spark: SparkSession, sf: str) -> DataFrame:
-    return changefeed.apply_changes(None, load(spark, sf, "dim_users"), ["id"], "_cdc_op", "_cdc_lsn", _USER_COLUMNS).withColumnRenamed("last_pos", "last_lsn")
+    return changefeed.rebuilt(load(spark, sf, "dim_users"), ["id"], "_cdc_op", "_cdc_lsn", _USER_COLUMNS).withColumnRenamed("last_pos", "last_lsn")
 
 
 @query("p7_orders_state", _state_sql("fact_orders", _ORDER_COLUMNS))
 def p7_orders_state(spark: SparkSession, sf: str) -> DataFrame:
-    return changefeed.apply_changes(None, load(spark, sf, "fact_orders"), ["id"], "_cdc_op", "_cdc_lsn", _ORDER_COLUMNS).withColumnRenamed("last_pos", "last_lsn")
+    return changefeed.rebuilt(load(spark, sf, "fact_orders"), ["id"], "_cdc_op", "_cdc_lsn", _ORDER_COLUMNS).withColumnRenamed("last_pos", "last_lsn")

@@ -84,14 +84,14 @@ def log_replay_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_tumbling_counts", "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n from events group by 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    e = T.stream_in_parts(spark, sf, "events", "ts").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     c = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return T.run_complete(c.select(F.col("w.start").alias("window_start"), "event_type", "n"), "tumbling").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_deduplicated", "select topic, count(distinct (partition_id, kafka_offset)) as n from sample_events group by 1")
 def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
-    s = T.stream(spark, sf, "sample_events").select("topic", "partition_id", "kafka_offset").dropDuplicates(["topic", "partition_id", "kafka_offset"])
+    s = T.stream_in_parts(spark, sf, "sample_events", "landing_id").select("topic", "partition_id", "kafka_offset").dropDuplicates(["topic", "partition_id", "kafka_offset"])
     return T.run_append(s, "deduplicated").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,14 +101,14 @@ def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
 t as (select user_id, min(ts) first_ts, max(ts) last_ts, count(*) n from n group by user_id, k) select user_id, first_ts, n from t where last_ts + interval 30 minute <= (select max(ts) from events) - interval 10 minute""",
 )
 def stream_closed_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    s = T.closed_sessions(T.stream(spark, sf, "events"), "user_id", "ts", "30 minutes", "10 minutes")
+    s = T.closed_sessions(T.stream_in_parts(spark, sf, "events", "ts"), "user_id", "ts", "30 minutes", "10 minutes")
     return T.run_append(s, "sessions").select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n")
 
 
 @query("stream_joined_within", "select e.event_id as l_id, c.event_id as r_id from events e join events c on e.user_id = c.user_id and e.event_type = 'error' and c.event_type = 'click' and c.ts > e.ts and c.ts <= e.ts + interval 10 minute")
 def stream_joined_within(spark: SparkSession, sf: str) -> DataFrame:
     def side(kind: str, p: str) -> DataFrame:
-        return T.stream(spark, sf, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{p}_id"), F.col("ts").cast("timestamp").alias(f"{p}_ts"))
+        return T.stream_in_parts(spark, sf, "events", "ts").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{p}_id"), F.col("ts").cast("timestamp").alias(f"{p}_ts"))
 
     return T.run_append(T.joined_within(side("error", "l"), side("click", "r"), "user_id", 600, "10 minutes"), "joined")
 
@@ -117,23 +117,17 @@ def stream_joined_within(spark: SparkSession, sf: str) -> DataFrame:
 def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed state over batches; the last batch's row of a key is its total."""
     out = T.OnceSink(spark, scratch(spark, "totals"))
-    T.run_batches(T.running_totals(T.stream(spark, sf, "events"), "user_id", "value"), "totals", out, "update")
+    T.run_batches(T.running_totals(T.stream_in_parts(spark, sf, "events", "ts"), "user_id", "value"), "totals", out, "update")
     r = out.read().groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
     return r.select("user_id", "x.n", F.round("x.total", 2).alias("total"))
 
 
 @query("stream_restated_periods", "select topic, sum(n_rows)::bigint as n_rows from (select topic, count(*) n_rows from (select * from sample_events qualify row_number() over (partition by topic, partition_id, kafka_offset order by landing_id) = 1) join lateness_limits l using (topic) where l.table_name = 'sample_events' and event_timestamp is not null and epoch_us(received_at) <= (epoch_us(event_timestamp) // (period_minutes::bigint * 60000000) + 1) * (period_minutes::bigint * 60000000) + cutoff_minutes::bigint * 60000000 group by 1) group by 1")
 def stream_restated_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """Every micro-batch restates the periods it touches from the raw rows retained so far."""
+    """Every micro-batch restates the periods it touches from the events retained so far."""
     t = late.RestatedPeriods(spark, scratch(spark, "restated"), load(spark, sf, "lateness_limits"))
-    raw = T.OnceSink(spark, scratch(spark, "raw"))
     cols = [F.lit("sample_events").alias("table_name"), "topic", "partition_id", "kafka_offset", F.col("landing_id").alias("row_id"), F.col("event_timestamp").alias("event_time"), F.col("received_at").alias("arrival"), F.lit(1).cast("bigint").alias("amount")]
-
-    def apply(batch: DataFrame, number: int) -> None:
-        raw(batch, number)
-        t.apply(raw.read().drop("batch"), spark.read.parquet(f"{raw.root}/batch={number}"), "amount")
-
-    T.run_batches(T.stream(spark, sf, "sample_events").select(*cols), "restated", apply)
+    T.run_batches(T.stream_in_parts(spark, sf, "sample_events", "landing_id").select(*cols), "restated", lambda batch, _: t.apply(batch, "amount"))
     return t.read().groupBy("topic").agg(F.sum("n_rows").alias("n_rows"))
 
 

@@ -24,6 +24,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def stream_in_parts(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 3) -> DataFrame:
+    """A table as a stream of ``parts`` micro-batches in the order of ``order``, whatever its files.
+
+    Its rows are landed as one file per range first, then read a file a batch, oldest first. A file read as one batch is
+    the size of a landing; at scale use ``stream`` on the files as they land.
+    """
+    df = load(spark, sf_dir, name)
+    land = scratch(spark, f"landing-{name}")
+    df.repartitionByRange(parts, F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{land}/all")
+    landed = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _part int").parquet(f"{land}/all")
+    for k in range(parts):  # file times give the order of reading
+        landed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{land}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{land}/in")
+
+
 def run_append(df: DataFrame, label: str) -> DataFrame:
     """Append everything to a Parquet sink, exactly once by its checkpoint, and read it back."""
     spark = df.sparkSession

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quern.operators import changefeed as C
 
 SCHEMA = "id bigint, op string, pos bigint, a string, b int, last_pos string"
@@ -28,11 +30,16 @@ def test_random_feeds_with_repeats_and_any_order(spark):
     data = [(rnd.choice([1, 1, 1, 2, 3, 4, None]), rnd.choice(["c", "U", "u", "r", "D", None]), p if rnd.random() > 0.1 else None, rnd.choice([None, "x", "y"]), rnd.choice([None, 1, 2])) for p in range(200)]
     data += rnd.sample(data, 60)
     rnd.shuffle(data)
-    for chunk in (7, 1 << 22):
-        got = sorted(map(tuple, C.apply_changes(None, feed(spark, data), ["id"], "op", "pos", ["a", "b"], chunk).collect()))
+    for chunks in (1, 7, 64):
+        got = sorted(map(tuple, C.apply_changes(None, feed(spark, data), ["id"], "op", "pos", ["a", "b"], chunks).collect()))
         assert got == fold(data)
-        alive = sorted(map(tuple, C.alive(feed(spark, data), ["id"], "op", "pos", chunk).collect()))
-        assert alive == [(r[0], r[3]) for r in fold(data)]
+        assert sorted(map(tuple, C.rebuilt(feed(spark, data), ["id"], "op", "pos", ["a", "b"], chunks).collect())) == fold(data)
+
+
+def test_chunks_part_the_log_evenly(spark):
+    f = spark.range(6400).select((F.col("id") * F.col("id")).alias("pos"))
+    n = [r["n"] for r in f.groupBy(C.chunk_of(F.col("pos"), C.chunk_bounds(f, "pos")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(n) == 64 and max(n) < 150
 
 
 def test_base_and_empty_feed(spark):
@@ -42,8 +49,10 @@ def test_base_and_empty_feed(spark):
     got = sorted(map(tuple, C.apply_changes(b, feed(spark, data), ["id"], "op", "pos", ["a", "b"]).collect()))
     assert got == fold(data, base)
     assert C.apply_changes(b, feed(spark, []), ["id"], "op", "pos", ["a", "b"]).count() == 3
-    assert C.alive(feed(spark, []), ["id"], "op", "pos").count() == 0
+    assert C.rebuilt(feed(spark, []), ["id"], "op", "pos", ["a"]).count() == 0
+    kept = C.apply_changes(b.withColumn("last_pos", F.lit(3)), feed(spark, data), ["id"], "op", "pos", ["a", "b"]).collect()
+    assert {r["id"]: r["last_pos"] for r in kept} == {1: 5, 3: 9, 4: 7}
 
 
 def test_delete_wins_a_shared_position(spark):
-    assert C.alive(feed(spark, [(1, "u", 5, "x", 1), (1, "d", 5, None, None)]), ["id"], "op", "pos").count() == 0
+    assert C.rebuilt(feed(spark, [(1, "u", 5, "x", 1), (1, "d", 5, None, None)]), ["id"], "op", "pos", []).count() == 0

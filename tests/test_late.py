@@ -30,21 +30,45 @@ DATA = [
 ]
 
 
+def restated(spark, batches):
+    t = L.RestatedPeriods(spark, scratch(spark, "p"), limits(spark))
+    for b in batches:
+        t.apply(table(spark, b), "v")
+    return t
+
+
+def verdicts(t):
+    return {r["row_id"]: r["verdict"] for r in t.retained().where("verdict <> 'on_time'").collect()}
+
+
+def sums(t):
+    return sorted(map(tuple, t.read().select("topic", "period_start", "n_rows", "n_first", "n_corrections", "total").collect()))
+
+
+LATE = {2: "correction", 3: "correction", 4: "too_late", 9: "correction", 10: "correction", 11: "too_late"}
+
+
 def test_verdicts_at_the_boundaries(spark):
-    got = {r["row_id"]: r["verdict"] for r in L.late_rows(table(spark, DATA), limits(spark)).collect()}
-    assert got == {2: "correction", 3: "correction", 4: "too_late", 9: "correction", 10: "correction", 11: "too_late"}
-    assert L.late_rows(table(spark, []), limits(spark)).count() == 0
-
-
-def test_batches_in_any_cut_give_the_same_table(spark):
-    def run(cuts):
-        t = L.RestatedPeriods(spark, scratch(spark, "p"), limits(spark))
-        done = 0
-        for c in cuts:
-            t.apply(table(spark, DATA[:c]), table(spark, DATA[done:c]), "v")
-            t.apply(table(spark, DATA[:c]), table(spark, DATA[done:c]), "v")  # again, as after a crash
-            done = c
-        return sorted(map(tuple, t.read().select("topic", "period_start", "n_rows", "n_first", "n_corrections", "total").collect()))
-
-    whole = run([len(DATA)])
-    assert whole == run([1, 3, 4, len(DATA)]) and [r[2:] for r in whole] == [(3, 1, 2, 7), (2, 0, 2, 256)]
+    t = restated(spark, [DATA])
+    assert verdicts(t) == LATE and [r[2:] for r in sums(t)] == [(3, 1, 2, 7), (2, 0, 2, 256)]
+    t = restated(spark, [[]])
+    assert verdicts(t) == {} and sums(t) == []
+
+
+def test_batches_in_any_cut_and_again_give_the_same(spark):
+    whole = sums(restated(spark, [DATA]))
+    cut = [DATA[:1], DATA[1:4], DATA[1:4], DATA[4:], DATA]  # as after a crash, and a replay of everything
+    t = restated(spark, cut)
+    assert sums(t) == whole and verdicts(t) == LATE
+
+
+def test_an_earlier_row_in_a_later_batch_takes_the_place_and_empties_its_old_partition(spark):
+    day = 24 * 60
+    late = [("t", "a", 0, 1, 5, T(3 * day), T(3 * day + 1), 16)]
+    first = [("t", "a", 0, 1, 1, T(10), T(59), 1)]
+    for batches in ([late, first], [first, late], [late, first, late], [late + first]):
+        t = restated(spark, batches)
+        assert [r[2:] for r in sums(t)] == [(1, 1, 0, 1)] and [r["row_id"] for r in t.retained().collect()] == [1]
+    # the earlier row has no event time: the event has no period then
+    t = restated(spark, [late, [("t", "a", 0, 1, 1, None, T(59), 1)]])
+    assert sums(t) == [] and verdicts(t) == {}
