@@ -35,19 +35,45 @@ def _targets(targets: DataFrame) -> DataFrame:
     return F.broadcast(t) if small else t
 
 
+def _enough(sources: list[dict], budget: int) -> float:
+    """A virtual time by which the budget is served for sure.
+
+    By time v a source has served all its copies, or at least weight * v less one document. The sum of
+    that grows piecewise in a straight line, so the time is found at a corner or between two.
+    """
+    def served(v: float) -> float:
+        return sum(max(0.0, min(s["supply"] * s["repeats"], s["weight"] * v - s["largest"])) for s in sources)
+
+    corners = sorted({c for s in sources for c in (s["largest"] / s["weight"], (s["supply"] * s["repeats"] + s["largest"]) / s["weight"])})
+    before = 0.0
+    for c in corners:
+        if served(c) >= budget:
+            lo, hi = served(before), served(c)
+            return before + (c - before) * (max(0.0, budget - lo) / (hi - lo) if hi > lo else 1.0)
+        before = c
+    return float("inf")
+
+
 def mix(sizes: DataFrame, targets: DataFrame, budget_tokens: int | None = None, seed: int = 1) -> DataFrame:
     """The chosen documents: doc_id, source, repeat_no, n_tokens, virtual_finish.
 
     ``sizes`` has doc_id, source, n_tokens. Without a budget it is the size of the corpus of
-    the targeted sources, each document once.
+    the targeted sources, each document once. Copies that can only finish after the budget is served are never made.
     """
     queue = sizes.where("n_tokens > 0 and doc_id is not null").select("doc_id", "n_tokens", source_name(F.col("source")).alias("source")).join(_targets(targets), "source")
-    budget = budget_tokens if budget_tokens is not None else queue.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    served = queue.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).withColumn("_h", F.xxhash64(F.lit(seed), "repeat_no", "doc_id"))
+    # a row per target source
+    sources = [r.asDict() for r in queue.groupBy("source", "weight", "repeats").agg(F.sum("n_tokens").alias("supply"), F.max("n_tokens").alias("largest")).collect()]
+    budget = budget_tokens if budget_tokens is not None else sum(s["supply"] for s in sources)
+    end = _enough(sources, budget)
+    # the k-th copies of a source start at (k - 1) * supply / weight; one more copy makes up for rounding
+    need = [(s["source"], int(min(s["repeats"], end * s["weight"] / s["supply"] + 2 if end < float("inf") else s["repeats"]))) for s in sources]
+    copies = F.broadcast(sizes.sparkSession.createDataFrame(need, "source string, _copies int"))
+    served = queue.join(copies, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), "_copies"))).withColumn("_h", F.xxhash64(F.lit(seed), "repeat_no", "doc_id"))
     lined = range_sorted(served.select("source", "repeat_no", "_h", "doc_id", "n_tokens", "weight"), [F.col("source"), F.col("repeat_no"), F.col("_h"), F.col("doc_id")])
     timed = with_running(lined, {"_cum": "n_tokens"}, ["source"]).select("source", "repeat_no", "doc_id", "n_tokens", (F.col("_cum") / F.col("weight")).alias("virtual_finish"))
+    # what finishes after that time isn't served either, so the second sort needs only the rest; the cut is exact
+    timed = timed.where(F.col("virtual_finish") <= F.lit(end * (1 + 1e-9))) if end < float("inf") else timed
     order = [F.col("virtual_finish"), F.col("source"), F.col("repeat_no"), F.col("doc_id")]
-    # a document that finishes after virtual time budget / (smallest sum of open weights) can't be served; the cut below is exact
     total = with_running(range_sorted(timed, order), {"_total": "n_tokens"})
     return total.where(F.col("_total") <= F.lit(budget)).select("doc_id", "source", "repeat_no", "n_tokens", "virtual_finish")
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quern.llm import mixing as M
 
 SIZES = "doc_id bigint, source string, n_tokens bigint, weight string"
@@ -41,3 +43,37 @@ def test_nulls_empty_and_shares(spark):
     assert M.mix(sizes(spark, []), t).count() == 0
     s = {r["source"]: (r["supply_tokens"], r["chosen_tokens"], r["share"]) for r in M.shares(sizes(spark, data), t).collect()}
     assert s["b"] == (8, 8, 1.0) and s["a"][1:] == (0, 0.0)
+
+
+def brute(data, targets, budget):
+    """One queue per source, served document by document in the order of virtual finish."""
+    done = []
+    for source, weight, repeats in targets:
+        docs, cum = [(d, n) for d, s, n in data if s == source], 0
+        for k in range(1, repeats + 1):
+            for h, d, n in sorted((F_HASH[k, d], d, n) for d, n in docs):
+                cum += n
+                done.append((cum / weight, source, k, d, n))
+    out, total = [], 0
+    for v, source, k, d, n in sorted(done):
+        total += n
+        if total > budget:
+            break
+        out.append((d, source, k))
+    return sorted(out)
+
+
+F_HASH = {}
+
+
+def test_same_documents_as_a_queue_served_one_by_one(spark):
+    """At budgets from nothing to more than there is, where the copies that are made differ."""
+    rnd = random.Random(8)
+    data = [(i, rnd.choice(["a", "a", "a", "b", "c"]), rnd.randint(1, 30)) for i in range(60)]
+    targets = [("a", 0.2, 2), ("b", 0.5, 4), ("c", 0.3, 3)]
+    h = spark.range(60).select("id", *[F.xxhash64(F.lit(1), F.lit(k), "id").alias(f"h{k}") for k in range(1, 5)]).collect()
+    F_HASH.update({(k, r["id"]): r[f"h{k}"] for r in h for k in range(1, 5)})
+    t = spark.createDataFrame(targets, TARGETS)
+    for budget in (0, 40, 500, 900, 1500, 10_000):
+        got = sorted((r["doc_id"], r["source"], r["repeat_no"]) for r in M.mix(sizes(spark, data), t, budget).collect())
+        assert got == brute(data, targets, budget)
