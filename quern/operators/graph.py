@@ -41,6 +41,23 @@ def triangles(edges: DataFrame) -> DataFrame:
     return t.select(F.get(s, F.lit(0)).alias("a"), F.get(s, F.lit(1)).alias("b"), F.get(s, F.lit(2)).alias("c"))
 
 
+def four_cycles(edges: DataFrame) -> DataFrame:
+    """The number of cycles of four, each counted at its corner of highest rank (degree, then id).
+
+    Paths of two steps are formed only towards corners of lower rank than their start, which bounds them as for triangles.
+    """
+    e = undirected(edges)
+    d = materialize(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d")), "degrees")
+    f = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(d.withColumnsRenamed({"v": "b", "d": "db"}), "b").join(d.withColumnsRenamed({"v": "a", "d": "da"}), "a")
+    f = materialize(f.select("a", "b", F.struct("da", "a").alias("ra"), F.struct("db", "b").alias("rb")), "ranked")
+    rank = [F.struct(F.col(f"{x}.{y}").alias("d"), F.col(f"{x}.{z}").alias("v")) for x, y, z in (("ra", "da", "a"), ("rb", "db", "b"))]
+    f = f.select("a", "b", rank[0].alias("ra"), rank[1].alias("rb"))
+    top = f.where(F.col("ra") < F.col("rb")).select(F.col("a").alias("m"), F.col("b").alias("v"), F.col("rb").alias("rv"))
+    low = f.select(F.col("a").alias("m"), F.col("b").alias("w"), F.col("rb").alias("rw"))
+    n = top.join(low, "m").where(F.col("rw") < F.col("rv")).groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.coalesce(F.expr("cast(sum(n * (n - 1) div 2) as bigint)"), F.lit(0).cast("bigint")).alias("n_cycles"))
+
+
 def is_cyclic(relations: list[set[str]]) -> bool:
     """Whether a join of relations over these attributes is cyclic (ear removal leaves something)."""
     rels = [set(r) for r in relations]
@@ -58,14 +75,13 @@ def is_cyclic(relations: list[set[str]]) -> bool:
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], most: int) -> DataFrame:
-    """Apply ``step`` until ``changed`` is empty or ``most`` rounds; lineage is cut each round."""
+    """Apply ``step`` until ``changed`` is empty, and raise after ``most`` rounds; lineage is cut each round."""
     for _ in range(most):
         nxt = materialize(step(state), "iterate")
-        done = changed(state, nxt).isEmpty()
+        if changed(state, nxt).isEmpty():
+            return nxt
         state = nxt
-        if done:
-            break
-    return state
+    raise RuntimeError(f"iterate: still changing after {most} rounds")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -99,25 +115,29 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return vertices.join(root, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
-def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, cut_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, look_every: int = 10) -> DataFrame:
     """(v, rank): (1 - d) / n + d * (incoming + dangling / n); parallel edges count once, weights are not used.
 
-    Without ``rounds`` it iterates until the ranks settle, looked at each ``cut_every`` rounds; each round shrinks
+    Without ``rounds`` it iterates until the ranks settle, looked at each ``look_every`` rounds; each round shrinks
     their change by ``d`` at least, so it ends.
     """
     e = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
-    v = materialize(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("out")), "v", "left"), "vertices")
+    v = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("out")), "v", "left")
+    v = materialize(v, "vertices")
     n = v.count()
-    r = v.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    r = materialize(v.withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
     i, seen = 0, None
+    # the rank that dangling vertices give to all is one number a round, which needs the round's table; without any, rounds are chained
+    some = not v.where("out is null").isEmpty()
     while n and (rounds is None or i < rounds):
-        sent = e.join(r.where("out is not null").select(F.col("v").alias("src"), (F.col("rank") / F.col("out")).alias("s")), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("s").alias("s"))
-        dangling = r.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("x"))
-        r = v.join(sent, "v", "left").join(F.broadcast(dangling), F.lit(True)).select("v", "out", ((1 - d) / n + d * (F.coalesce("s", F.lit(0.0)) + F.col("x") / n)).alias("rank"))
+        dangling = (r.where("out is null").agg(F.sum("rank")).first()[0] or 0.0) if some else 0.0
+        sent = e.join(r.where("out is not null").select(F.col("v").alias("src"), (F.col("rank") / F.col("out")).alias("s")), "src").select(F.col("dst").alias("v"), F.lit(None).cast("bigint").alias("out"), "s")
+        total = sent.unionByName(v.select("v", "out", F.lit(0.0).alias("s"))).groupBy("v").agg(F.max("out").alias("out"), F.sum("s").alias("s"))
+        r = total.select("v", "out", ((1 - d) / n + d * (F.col("s") + dangling / n)).alias("rank"))
         i += 1
-        if i % cut_every == 0 or i % 2 == 0:
+        if some or i % look_every == 0:
             r = materialize(r, "ranks")
-        if rounds is None and i % cut_every == 0:
+        if rounds is None and i % look_every == 0:
             if seen is not None:
                 moved = r.join(seen, "v").agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0]
                 if moved <= RANK_TOLERANCE:
@@ -158,8 +178,8 @@ def cascade(exposures: DataFrame, buffers: DataFrame, seeds: DataFrame, most: in
         failed, size = nxt, grown
 
 
-def timed_cycles(edges: DataFrame, length: int, span_seconds: int) -> DataFrame:
-    """Closed walks of ``length`` different vertices with rising times within a span: path and times of its ends.
+def timed_cycles(edges: DataFrame, length: int, span_seconds: int, closed: bool = True) -> DataFrame:
+    """Closed walks of ``length`` different vertices with rising times within a span: path and times of its ends; or open walks of so many steps.
 
     ``edges`` has src, dst, ts. A step joins on the vertex and on a bucket of time, so walks meet only edges in reach.
     """
@@ -167,10 +187,10 @@ def timed_cycles(edges: DataFrame, length: int, span_seconds: int) -> DataFrame:
     w = span_seconds * 1_000_000
     e = edges.where("src <> dst").select("src", "dst", us.alias("t"), F.floor(us / w).alias("_b"))
     walk = e.select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"), F.col("t").alias("t0"), F.col("t").alias("t1"))
-    for _ in range(length - 1):
+    for k in range(length - 1):
         nxt = walk.withColumn("_b", F.explode(F.array(F.floor(F.col("t1") / w), F.floor(F.col("t1") / w) + 1)))
         j = nxt.join(e, (nxt["end"] == e["src"]) & (nxt["_b"] == e["_b"]) & (e["t"] > nxt["t1"]) & (e["t"] - nxt["t0"] <= w))
         closes = F.col("dst") == F.get("path", F.lit(0))
-        j = j.where(~F.array_contains(F.slice("path", 2, 99), F.col("dst")))
-        walk = j.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"), "t0", F.col("t").alias("t1")).where(~closes if _ < length - 2 else closes)
+        j = j.where(~F.array_contains(F.slice("path", F.lit(2), F.size("path")), F.col("dst")))
+        walk = j.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"), "t0", F.col("t").alias("t1")).where(closes if closed and k == length - 2 else ~closes)
     return walk.select("path", "t0", "t1")

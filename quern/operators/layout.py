@@ -7,7 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..plans.ordering import range_sorted, with_running
+from ..plans.runtime import scratch
 
 
 def scaled(c: str, lo: float, hi: float, bits: int) -> Column:
@@ -97,3 +100,45 @@ def compaction_plan(files: DataFrame, target_bytes: int) -> DataFrame:
 def prunable(stats: DataFrame, lo, hi) -> DataFrame:
     """Row groups a range predicate can skip, from their min, max and null count."""
     return stats.withColumn("skip", F.col("min_value").isNull() | (F.col("max_value") < lo) | (F.col("min_value") > hi))
+
+
+def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, row_id, cosine): the k nearest rows of each query by cosine, to six digits, ties by id; the query itself is left out.
+
+    Queries are taken in blocks of at most ``block`` vectors, so what is sent to the tasks is bounded; each
+    Arrow batch of the base is held against a block by one matrix product and gives its k best per query only.
+    A block is one pass over the base; blocks are formed by a range sort of ids.
+    """
+    spark = base.sparkSession
+    n = queries.count()
+    q = with_running(range_sorted(queries.select(F.col(row_id).alias("_q"), F.col(vector).alias("_v"), F.lit(1).alias("_one")), [F.col("_q")]), {"_n": "_one"}) if n else queries
+    kind = dict(base.dtypes)[row_id]
+    schema = f"query_id {kind}, `{row_id}` {kind}, cosine double"
+    out = scratch(spark, "nearest")
+    for b in range(-(-n // block)):
+        rows = q.where(F.col("_n").between(b * block + 1, (b + 1) * block)).select("_q", "_v").collect()  # at most ``block``
+        ids = np.array([r["_q"] for r in rows])
+        m = np.array([r["_v"] for r in rows], dtype="float64")
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        sent = spark.sparkContext.broadcast((ids, m))
+
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, m = sent.value
+            for x in batches:
+                if not len(x):
+                    continue
+                v = np.array(x[vector].tolist(), dtype="float64")
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                own = x[row_id].to_numpy()
+                score = np.round(m @ v.T, 6)
+                score[ids[:, None] == own[None, :]] = -np.inf
+                for i, s in zip(ids, score):
+                    top = np.lexsort((own, -s))[:k]
+                    top = top[np.isfinite(s[top])]
+                    yield pd.DataFrame({"query_id": i, row_id: own[top], "cosine": s[top]})
+
+        near = base.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull()).select(row_id, vector).mapInPandas(best, schema)
+        w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), row_id)
+        near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").write.mode("append").parquet(out)
+        sent.unpersist()
+    return spark.read.schema(schema).parquet(out) if n else spark.createDataFrame([], schema)

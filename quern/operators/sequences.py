@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -74,12 +75,52 @@ def matches(df: DataFrame, entity: str, time: str, kind: str, value: str, tie: s
     return ordered.mapInPandas(run, schema)
 
 
+def folded(df: DataFrame, key: list[str], order: list[str], inputs: list[str], start: Callable[[], Callable[..., tuple | None]], outputs: str) -> DataFrame:
+    """``key``, ``order`` and the outputs of a recurrence over each key's rows in order.
+
+    ``start()`` gives a function for a key, which gets the inputs of one row after the other and returns the
+    outputs, or None for no row. Rows are partitioned by key and sorted within, then streamed in Arrow batches: a task
+    holds a batch and one key's function, however many rows a key has. A recurrence can't be cut, so a hot key takes one
+    task's time. Rows without key are skipped; ties in ``order`` must be told apart by it.
+    """
+    names = [*key, *order]
+    kinds = dict(df.dtypes)
+    own = [f"_i{k}" for k in range(len(inputs))]
+    src = df.where(" and ".join(f"`{k}` is not null" for k in key)).select(*names, *[F.col(c).alias(o) for c, o in zip(inputs, own)])
+    ordered = src.repartition(*key).sortWithinPartitions(*names)
+    made = [c.strip().split()[0] for c in outputs.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for b in batches:
+            keep, out = [], []
+            keys = list(zip(*[b[k] for k in key]))
+            for i, (k, x) in enumerate(zip(keys, zip(*[b[o] for o in own]))):
+                if k != now:
+                    now, step = k, start()
+                r = step(*x)
+                if r is not None:
+                    keep.append(i)
+                    out.append(r)
+            yield pd.concat([b[names].iloc[keep].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1)
+
+    return ordered.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), outputs]))
+
+
 def hash_chain(df: DataFrame, key: str, order: list[str], content: str) -> DataFrame:
-    """Adds ``link``: sha256 of the previous link and the row's content, per key in order; the first link starts from ''."""
-    g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(content).cast("string").alias("_c")))).alias("_r"))
-    fold = F.aggregate("_r", F.array().cast("array<string>"), lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.coalesce(r["_c"], F.lit(""))), 256))))
-    z = g.select(key, F.explode(F.arrays_zip("_r", fold.alias("_l"))).alias("_z"))
-    return z.select(key, *[F.col(f"_z._r.{c}").alias(c) for c in order], F.col("_z._l").alias("link"))
+    """key, ``order`` and ``link``: sha256 of the previous link and the row's content, per key in order; the first link starts from ''."""
+
+    def start() -> Callable[[object], tuple[str]]:
+        link = ""
+
+        def step(c: object) -> tuple[str]:
+            nonlocal link
+            link = hashlib.sha256((link + (c if isinstance(c, str) else "")).encode()).hexdigest()
+            return (link,)
+
+        return step
+
+    return folded(df.withColumn(content, F.col(content).cast("string")), [key], order, [content], start, "link string")
 
 
 def replay_differs(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sequences import folded
+
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], lookback: Column | None = None, arrival: str | None = None, prefix: str = "r_") -> DataFrame:
+def carried_forward(df: DataFrame, key: list[str], time: str, tie: list[str], values: dict[str, Column], bucket_seconds: int) -> DataFrame:
+    """Adds for each name the last non-null value of its expression at or before the row, per key in order of time.
+
+    A key is cut into buckets of time: a window carries values within a bucket, and the last values of a bucket
+    (one row per key and bucket, combined before the shuffle) are carried to the later ones. So the largest window is a
+    key's rows of one bucket plus its number of buckets, and a key with a third of all rows is spread over time.
+    """
+    b = df.withColumn("_bucket", F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (bucket_seconds * 1_000_000)))
+    for n, v in values.items():
+        b = b.withColumn(f"_v_{n}", v)
+    at = F.struct(time, *tie)
+    ends = b.groupBy(*key, "_bucket").agg(*[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in values])
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    into = ends.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_bucket").alias("_kb"), *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
+    within = Window.partitionBy(*key, "_bucket").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    own = b.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(within).alias(f"_o_{n}") for n in values])
+    on = F.col("_bucket").eqNullSafe(F.col("_kb"))
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = own.join(into, on, "left")
+    return j.select(*df.columns, *[F.coalesce(f"_o_{n}", f"_c_{n}").alias(n) for n in values])
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], lookback: Column | None = None, arrival: str | None = None, prefix: str = "r_", bucket_seconds: int = 86_400) -> DataFrame:
     """Each left row with the latest right row at or before its time, within ``lookback``.
 
-    Both sides are united and sorted once per key; the last right row is carried forward.
-    One shuffle and no range join. On equal right times the one that arrived last counts
+    Both sides are united and sorted per key and bucket of time; the last right row is carried forward.
+    No range join. On equal right times the one that arrived last counts
     (``arrival``), and right rows come before left rows of the same time. If the latest is older than
     ``lookback`` (an interval), the left row stays without a match. Null keys or times match nothing.
     """
@@ -17,8 +44,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     r = right.where(" and ".join(f"`{c}` is not null" for c in [*on, right_time])).select(*on, F.col(right_time).alias("_at"), F.lit(0).alias("_side"), (F.col(arrival) if arrival else F.lit(0)).cast("bigint").alias("_arr"), pay.alias("_r"))
     lt = left.select(*on, F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_arr"), F.struct(*left.columns).alias("_l"))
     both = lt.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_at", "_side", "_arr").rowsBetween(Window.unboundedPreceding, 0)
-    m = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    m = carried_forward(both, on, "_at", ["_side", "_arr"], {"_m": F.col("_r")}, bucket_seconds).where("_side = 1")
     ok = F.col("_m").isNotNull() & F.col("_at").isNotNull()
     for c in on:
         ok = ok & F.col(c).isNotNull()
@@ -44,15 +70,25 @@ def asof_corrections(left: DataFrame, right: DataFrame, on: list[str], left_time
 def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, tie: str, closes: Column | None = None) -> DataFrame:
     """Adds ``session_no``: a new one after an idle time above the gap, and after a closing event.
 
-    An idle time equal to the gap stays. Rows without time keep a null session.
+    An idle time equal to the gap stays. Rows without time keep a null session. A key is cut into days: starts are
+    marked against the last row before, which is looked up over days where it isn't of the same one, and numbered by
+    a running sum within the day on top of the sum of the days before. So a window holds a key's rows of a day at most.
     """
-    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(time), tie)
-    idle = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
-    start = F.lag(time).over(w).isNull() | (idle > gap_seconds * 1_000_000)
-    if closes is not None:
-        start = start | F.coalesce(F.lag(closes).over(w), F.lit(False))
-    marked = df.withColumn("_s", F.when(F.col(time).isNull(), 0).otherwise(start.cast("int")))
-    return marked.withColumn("session_no", F.when(F.col(time).isNotNull(), F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
+    own = df.withColumn("_day", F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 86_400_000_000)).withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
+    own = own.withColumn("_shut", F.coalesce(closes, F.lit(False)) if closes is not None else F.lit(False))
+    within = Window.partitionBy(key, "_day").orderBy(time, tie)
+    past = Window.partitionBy(key).orderBy("_day")
+    ends = own.where("_day is not null").groupBy(key, "_day").agg(F.max(F.struct("_us", tie, "_shut")).alias("_e"))
+    ends = ends.select(F.col(key).alias("_k"), F.col("_day").alias("_d"), F.lag("_e._us").over(past).alias("_in_us"), F.lag("_e._shut").over(past).alias("_in_shut"))
+    j = own.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
+    before, shut = F.coalesce(F.lag("_us").over(within), F.col("_in_us")), F.coalesce(F.lag("_shut").over(within), F.col("_in_shut"))
+    start = before.isNull() | (F.col("_us") - before > gap_seconds * 1_000_000) | F.coalesce(shut, F.lit(False))
+    marked = j.withColumn("_s", F.when(F.col("_us").isNull(), 0).otherwise(start.cast("int")))
+    sums = marked.where("_day is not null").groupBy(key, "_day").agg(F.sum("_s").alias("_n"))
+    base = sums.select(F.col(key).alias("_k2"), F.col("_day").alias("_d2"), F.coalesce(F.sum("_n").over(past.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    out = marked.join(base, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_day") == F.col("_d2")), "left")
+    number = F.when(F.col("_us").isNotNull(), F.col("_base") + F.sum("_s").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.select(*df.columns, number.alias("session_no"))
 
 
 def islands(df: DataFrame, key: list[str], order: list[str], flag: Column, least: int = 1) -> DataFrame:
@@ -67,15 +103,14 @@ def islands(df: DataFrame, key: list[str], order: list[str], flag: Column, least
 def attribution(conversions: DataFrame, touches: DataFrame, key: str, at: str, touch_at: str, kind: str, touch_id: str, windows: dict[str, int]) -> DataFrame:
     """Last touch per conversion: kinds in order of rank, each within its window in seconds (inclusive).
 
-    One window over the united rows per key carries the last touch of each kind forward; the
+    The united rows carry the last touch of each kind forward per key and bucket of time; the
     greatest id wins ties. No pair of conversion and touch is ever formed.
     """
     c = conversions.select("*", F.lit(1).alias("_side"))
     t = touches.select(F.col(key), F.col(touch_at).alias(at), F.lit(0).alias("_side"), F.col(kind).alias("_kind"), F.col(touch_id).alias("_tid"))
-    w = Window.partitionBy(key).orderBy(at, "_side", F.asc_nulls_first("_tid")).rowsBetween(Window.unboundedPreceding, 0)
     both = c.unionByName(t, allowMissingColumns=True)
-    for k in windows:
-        both = both.withColumn(f"_last_{k}", F.last(F.when((F.col("_side") == 0) & (F.col("_kind") == k), F.struct(F.col(at).alias("t"), F.col("_tid").alias("id"))), ignorenulls=True).over(w))
+    last = {f"_last_{k}": F.when((F.col("_side") == 0) & (F.col("_kind") == k), F.struct(F.col(at).alias("t"), F.col("_tid").alias("id"))) for k in windows}
+    both = carried_forward(both, [key], at, ["_side", "_tid"], last, 86_400)
     out = both.where("_side = 1")
     sec = F.unix_micros(F.col(at).cast("timestamp"))
     name, ref = None, None
@@ -111,19 +146,99 @@ def sliding_counts(df: DataFrame, time: str, width: int, stride: int) -> DataFra
 
 
 def exponential_mean(df: DataFrame, key: list[str], order: list[str], value: str, period: int) -> DataFrame:
-    """Exponential mean seeded with the simple mean of the first ``period`` values.
+    """Exponential mean seeded with the simple mean of the first ``period`` values; earlier rows have none. Null values are skipped."""
+
+    def start() -> Callable[[float], tuple | None]:
+        m = _Mean(period, 2.0 / (period + 1))
+        return lambda v: None if (e := m.add(v)) is None else (e,)
+
+    return folded(df.withColumn("_v", F.col(value).cast("double")).where("_v is not null"), key, order, ["_v"], start, "ema double")
+
+
+class _Mean:
+    """Mean of the first values, then smoothed by a factor."""
+
+    def __init__(self, period: int, factor: float):
+        self.period, self.factor, self.n, self.value = period, factor, 0, 0.0
+
+    def add(self, v: float) -> float | None:
+        self.n += 1
+        if self.n <= self.period:
+            self.value += (v - self.value) / self.n
+            return self.value if self.n == self.period else None
+        self.value += self.factor * (v - self.value)
+        return self.value
+
+
+def macd(df: DataFrame, key: list[str], order: list[str], value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """``macd`` (fast less slow exponential mean), its own exponential mean ``signal``, and ``histogram``; from the row on that has all three."""
+
+    def start() -> Callable[[float], tuple | None]:
+        f, s, g = (_Mean(p, 2.0 / (p + 1)) for p in (fast, slow, signal))
+
+        def step(v: float) -> tuple | None:
+            a, b = f.add(v), s.add(v)
+            if a is None or b is None:
+                return None
+            e = g.add(a - b)
+            return None if e is None else (a - b, e, a - b - e)
 
-    By a closed form with prefix sums over powers of the decay, in log-free blocks: the recursion is a
-    fold over a key's values in order, so it runs as an aggregate over the ordered array of a key. Keys
-    here are bars of an instrument, whose number is bounded by the calendar.
+        return step
+
+    return folded(df.withColumn("_v", F.col(value).cast("double")).where("_v is not null"), key, order, ["_v"], start, "macd double, signal double, histogram double")
+
+
+def relative_strength(df: DataFrame, key: list[str], order: list[str], value: str, period: int = 14) -> DataFrame:
+    """Wilder's ``rsi``: 100 - 100 / (1 + mean gain / mean loss), both smoothed by 1 / period; 100 without losses."""
+
+    def start() -> Callable[[float], tuple | None]:
+        gain, loss, last = _Mean(period, 1.0 / period), _Mean(period, 1.0 / period), None
+
+        def step(v: float) -> tuple | None:
+            nonlocal last
+            last, d = v, 0.0 if last is None else v - last
+            if gain.n == 0 and loss.n == 0 and step.first:
+                step.first = False
+                return None
+            g, x = gain.add(max(d, 0.0)), loss.add(max(-d, 0.0))
+            return None if g is None else (100.0 if x == 0 else 100 - 100 / (1 + g / x),)
+
+        step.first = True
+        return step
+
+    return folded(df.withColumn("_v", F.col(value).cast("double")).where("_v is not null"), key, order, ["_v"], start, "rsi double")
+
+
+def dynamic_watermarks(df: DataFrame, source: list[str], batch: str, time: str, arrival: str, percentile: float, least_seconds: int) -> DataFrame:
+    """Per source and batch the lag that a percentile of its rows arrived within so far, and whether a row is later than that.
+
+    The lag is taken over all earlier batches of the source; the first batch has the least lag. Percentiles are exact
+    over whole seconds of lag: a histogram per source and batch, whose rows are lags and not events, is summed up.
+    Adds ``allowed_seconds`` and ``late``.
     """
-    a = 2.0 / (period + 1)
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_rows"))
-    start = F.aggregate(F.slice("_rows", 1, period), F.lit(0.0), lambda acc, r: acc + r["_v"]) / period
-    step = F.aggregate(
-        F.slice("_rows", period + 1, 1 << 30),
-        F.array(F.struct(F.get("_rows", F.lit(period - 1)).alias("r"), start.alias("e"))),
-        lambda acc, r: F.concat(acc, F.array(F.struct(r.alias("r"), (a * r["_v"] + (1 - a) * F.element_at(acc, -1)["e"]).alias("e")))),
-    )
-    out = rows.where(F.size("_rows") >= period).select(*key, F.explode(step).alias("_x"))
-    return out.select(*key, *[F.col(f"_x.r.{c}").alias(c) for c in order], F.col("_x.e").alias("ema"))
+    sec = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col(arrival).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1_000_000))
+    rows = df.where(F.col(time).isNotNull() & F.col(arrival).isNotNull() & F.col(batch).isNotNull()).withColumn("_lag", sec)
+    seen = rows.groupBy(*source, batch, "_lag").agg(F.count(F.lit(1)).alias("_n"))
+    batches = rows.select(*source, batch).distinct().withColumnRenamed(batch, "_at")
+    past = batches.join(seen, source).where(F.col(batch) < F.col("_at")).groupBy(*source, "_at", "_lag").agg(F.sum("_n").alias("_n"))
+    order = Window.partitionBy(*source, "_at").orderBy("_lag")
+    ranked = past.withColumn("_c", F.sum("_n").over(order)).withColumn("_t", F.sum("_n").over(Window.partitionBy(*source, "_at")))
+    allowed = ranked.where(F.col("_c") >= F.ceil(percentile * F.col("_t"))).groupBy(*source, F.col("_at").alias(batch)).agg(F.min("_lag").alias("_a"))
+    j = rows.join(allowed, [*source, batch], "left").withColumn("allowed_seconds", F.greatest(F.coalesce("_a", F.lit(0)), F.lit(least_seconds)).cast("bigint"))
+    return j.withColumn("late", F.col("_lag") > F.col("allowed_seconds")).select(*df.columns, "allowed_seconds", "late")
+
+
+def reordered(df: DataFrame, source: list[str], arrival: list[str], time: str, hold_seconds: int, identity: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A reorder buffer's output: rows in event order with ``position`` per source, and the dead letters with a ``reason``.
+
+    A row is held until the latest event time seen is ``hold_seconds`` past its own; one that comes after that is dead
+    (too_late), as is a repeat of ``identity`` (repeated) and one without event time (no_time).
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    seen = Window.partitionBy(*source).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*source, *identity).orderBy(*arrival)
+    r = df.withColumn("_high", F.max(us).over(seen)).withColumn("_again", F.row_number().over(same) > 1)
+    reason = F.when(us.isNull(), "no_time").when(F.col("_again"), "repeated").when(us < F.col("_high") - hold_seconds * 1_000_000, "too_late")
+    r = r.withColumn("reason", reason).drop("_high", "_again")
+    out = Window.partitionBy(*source).orderBy(time, *arrival)
+    return r.where("reason is null").drop("reason").withColumn("position", F.row_number().over(out)), r.where("reason is not null")

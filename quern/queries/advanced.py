@@ -10,20 +10,19 @@ from ..sources.tables import load
 
 # ---------------------------------------------------------------- graphs
 
-_EDGES = "(select distinct l_suppkey as src, 1000000 + l_partkey as dst from lineitem where l_quantity >= 48)"
+_USER_EDGES = "(select distinct user_id as src, (user_id * 7 + k * 13) % (select count(distinct user_id) from events) as dst from (select user_id, try_cast(json_extract_string(props, '$.k') as bigint) k from events) where k is not null)"
 
 
-def _trade_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and the parts they ship in large amounts."""
-    return load(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst")).distinct()
-
-
-_USER_EDGES = "(select distinct user_id as src, (user_id * 7 + k * 13) % 97 as dst from (select user_id, try_cast(json_extract_string(props, '$.k') as bigint) k from events) where k is not null)"
+def _user_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as an edge of its user to another one, drawn over all users, with its time."""
+    e = load(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    n = F.broadcast(e.agg(F.countDistinct("user_id").alias("_n")))  # one row
+    return e.select("user_id", k.alias("k"), "ts").where("k is not null").join(n, F.lit(True)).select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("k") * 13) % F.col("_n")).alias("dst"), "ts")
 
 
 def _user_edges(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return load(spark, sf, "events").select("user_id", k.alias("k")).where("k is not null").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("k") * 13) % 97).alias("dst")).distinct()
+    return _user_steps(spark, sf).select("src", "dst").distinct()
 
 
 _UND = f"(select distinct least(src, dst) a, greatest(src, dst) b from {_USER_EDGES} where src <> dst)"
@@ -39,24 +38,32 @@ def graph_triangles(spark: SparkSession, sf: str) -> DataFrame:
     f"""with e as {_UND}, f as (select a, b from e union all select b, a from e), w as (select x.b as l, y.b as r, count(*) n from f x join f y on x.a = y.a and x.b < y.b group by 1, 2) select cast(sum(n * (n - 1) // 2) // 2 as bigint) as n_cycles from w""",
 )
 def graph_four_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """Cycles of four counted from common neighbours: each is seen from both of its diagonals."""
-    e = G.undirected(_user_edges(spark, sf))
-    f = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    w = f.select("a", F.col("b").alias("l")).join(f.select("a", F.col("b").alias("r")), "a").where("l < r").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
-    return w.agg(F.expr("cast(sum(n * (n - 1) div 2) div 2 as bigint)").alias("n_cycles"))
+    return G.four_cycles(_user_edges(spark, sf))
 
 
 @query(
     "graph_components",
-    f"""with recursive e as (select src a, dst b from {_EDGES} union select dst, src from {_EDGES}), r(v, c) as (select a, a from e union select e.b, r.c from r join e on e.a = r.v where r.c < e.b) select v, min(c) as component from r group by 1""",
+    """with recursive e as (select distinct o_custkey as a, 1000000000 + l_suppkey as b from orders join lineitem on l_orderkey = o_orderkey where o_orderkey is not null union select 1000000000 + l_suppkey, o_custkey from orders join lineitem on l_orderkey = o_orderkey),
+r(v, c) using key (v) as (select a, min(least(a, b)) from e group by 1 union select e.b, min(r.c) from r join e on e.a = r.v join recurring.r as old on old.v = e.b where r.c < old.c group by 1)
+select v, c as component from r""",
 )
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(_trade_edges(spark, sf))
+    """Customers and the suppliers that served them."""
+    o, li = load(spark, sf, "orders"), load(spark, sf, "lineitem")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1000000000) + F.col("l_suppkey")).alias("dst"))
+    return G.components(e)
 
 
-@query("graph_pagerank")
+@query(
+    "graph_pagerank",
+    f"""with recursive e as {_USER_EDGES}, o as (select src v, count(*) out from e group by 1), vs as (select v, out, count(*) over () n from (select src v from e union select dst from e) left join o using (v)),
+r(i, v, rank) as (select 0, v, 1.0::double / n from vs union all
+select i, v, 0.15 / n + 0.85 * (coalesce(s, 0) + coalesce(x, 0) / n) from (select any_value(i) + 1 i from r) cross join vs left join (select dst v, sum(rank / out) s from e join r on r.v = e.src join o on o.v = e.src group by 1) using (v) cross join (select sum(rank) x from r left join o using (v) where out is null) where i <= 50)
+select v, round(rank, 9) as rank from r where i = 50""",
+)
 def graph_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pagerank(_user_edges(spark, sf))
+    """Fifty rounds; without a number of rounds the operator goes on until the ranks settle."""
+    return G.pagerank(_user_edges(spark, sf), 50).select("v", F.round("rank", 9).alias("rank"))
 
 
 @query(
@@ -67,27 +74,52 @@ def graph_within_hops(spark: SparkSession, sf: str) -> DataFrame:
     return G.within_hops(_user_edges(spark, sf), spark.createDataFrame([(1,)], "v bigint"), 3)
 
 
-@query("graph_cascade")
+@query(
+    "graph_cascade",
+    f"""with recursive e as (select src, dst, cast(src % 5 + 1 as double) amount from {_USER_EDGES}), w(v, wave) using key (v) as (select 1::bigint, 0 union
+select d.v, k.k from (select max(wave) + 1 k from recurring.w) k, (select e.dst v, sum(amount) loss from e join recurring.w f on f.v = e.src group by 1) d where d.loss > d.v % 40 and d.v not in (select v from recurring.w))
+select v, wave from w""",
+)
 def graph_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Failures spread from user 1 over exposures weighted by events."""
     e = _user_edges(spark, sf).withColumn("amount", (F.col("src") % 5 + 1).cast("double"))
-    v = e.select(F.col("dst").alias("v")).distinct().withColumn("buffer", (F.col("v") % 7).cast("double"))
+    v = e.select(F.col("dst").alias("v")).distinct().withColumn("buffer", (F.col("v") % 40).cast("double"))
     return G.cascade(e, v, spark.createDataFrame([(1,)], "v bigint"))
 
 
 @query(
     "graph_timed_cycles",
-    f"""with e as (select user_id as src, (user_id * 7 + k * 13) % 97 as dst, epoch_us(ts) t from (select *, try_cast(json_extract_string(props, '$.k') as bigint) k from events) where k is not null)
-select x.src as a, y.src as b, z.src as c, x.t as t0, z.t as t1 from e x join e y on x.dst = y.src and y.t > x.t and y.t - x.t <= 3600000000 join e z on y.dst = z.src and z.dst = x.src and z.t > y.t and z.t - x.t <= 3600000000
+    f"""with n as (select count(distinct user_id) n from events), e as (select user_id as src, (user_id * 7 + k * 13) % n as dst, epoch_us(ts) t from (select *, try_cast(json_extract_string(props, '$.k') as bigint) k from events), n where k is not null)
+select x.src as a, y.src as b, z.src as c, x.t as t0, z.t as t1 from e x join e y on x.dst = y.src and y.t > x.t and y.t - x.t <= 43200000000 join e z on y.dst = z.src and z.dst = x.src and z.t > y.t and z.t - x.t <= 43200000000
 where x.src <> x.dst and y.src <> y.dst and z.src <> z.dst and y.dst <> x.src""",
 )
 def graph_timed_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    e = load(spark, sf, "events").select("user_id", k.alias("k"), "ts").where("k is not null").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("k") * 13) % 97).alias("dst"), "ts")
-    c = G.timed_cycles(e, 3, 3600)
+    c = G.timed_cycles(_user_steps(spark, sf), 3, 43200)
     return c.select(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c"), "t0", "t1")
 
 
+@query(
+    "graph_lineage_impact",
+    f"""with recursive e as (select distinct src, dst from {_USER_EDGES} where src < dst), r(v, d) as (select 0::bigint, 0 union select e.dst, r.d + 1 from r join e on e.src = r.v where r.d < 4) select v, min(d) as depth from r group by 1""",
+)
+def graph_lineage_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """What a change of node 0 reaches downstream, with the fewest steps."""
+    e = _user_edges(spark, sf).where("src < dst")
+    return G.within_hops(e, spark.createDataFrame([(0,)], "v bigint"), 4).withColumnRenamed("hops", "depth")
+
+
+@query(
+    "graph_layered_chains",
+    f"""with n as (select count(distinct user_id) n from events), e as (select user_id as src, (user_id * 7 + k * 13) % n as dst, epoch_us(ts) t from (select *, try_cast(json_extract_string(props, '$.k') as bigint) k from events), n where k is not null)
+select x.src as a, y.src as b, z.src as c, z.dst as d, x.t as t0, z.t as t1 from e x join e y on x.dst = y.src and y.t > x.t and y.t - x.t <= 1800000000 join e z on y.dst = z.src and z.t > y.t and z.t - x.t <= 1800000000
+where x.src <> x.dst and y.dst not in (x.src, y.src) and z.dst not in (x.src, y.src, z.src)""",
+)
+def graph_layered_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of three steps through different users within half an hour."""
+    c = G.timed_cycles(_user_steps(spark, sf), 3, 1800, closed=False)
+    return c.select(*[F.get("path", F.lit(i)).alias(n) for i, n in enumerate("abcd")], "t0", "t1")
+
+
 @query(
     "join_cyclic_pattern",
     "select count(*) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber join lineitem c on b.l_suppkey = c.l_suppkey and c.l_partkey = a.l_partkey",
@@ -140,6 +172,21 @@ def provenance_probability(spark: SparkSession, sf: str) -> DataFrame:
     return P.project(P.join(n, c, ["k"], P.PROBABLE), ["n_regionkey"], P.PROBABLE).select("n_regionkey", F.round("_k", 8).alias("p"))
 
 
+@query("provenance_polynomial", "select n_regionkey, count(*) || '*c' as polynomial from nation join customer on n_nationkey = c_nationkey group by 1")
+def provenance_polynomial(spark: SparkSession, sf: str) -> DataFrame:
+    """How a row came about: every customer is one source c, so the derivations add up to a coefficient."""
+    n = P.annotate(load(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("k")), P.token())
+    c = P.annotate(load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), P.token("c"))
+    return P.project(P.join(n, c, ["k"], P.HOW), ["n_regionkey"], P.HOW).select("n_regionkey", P.polynomial(F.col("_k")).alias("polynomial"))
+
+
+@query("provenance_union", "select k, sum(n)::bigint as derivations from (select s_nationkey k, count(*) n from supplier group by 1 union all select c_nationkey, count(*) from customer group by 1) group by 1")
+def provenance_union(spark: SparkSession, sf: str) -> DataFrame:
+    s = P.annotate(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), F.lit(1))
+    c = P.annotate(load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), F.lit(1))
+    return P.union(s, c, P.BAG).withColumnRenamed("_k", "derivations")
+
+
 # ---------------------------------------------------------------- sketches and samples
 
 
@@ -152,12 +199,22 @@ def sketch_distinct_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return est.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
 
 
-@query("sketch_counts_never_below", "select count(*) as n_values, true as never_below from (select distinct l_partkey from lineitem)")
-def sketch_counts_never_below(spark: SparkSession, sf: str) -> DataFrame:
+def _slot_sql(x: str, depth: int, width: int) -> str:
+    return "[" + ", ".join(f"{{'row': {i}, 'slot': ((({x}) % {K.PRIME}) * {2 * i * 7919 + 104729} + {i * 1299709 + 15485863}) % {K.PRIME} % {width}}}" for i in range(depth)) + "]"
+
+
+def _draw_sql(x: str, seed: int) -> str:
+    a = f"((({x})::bigint % {K.PRIME}) * 48271 + {seed}) % {K.PRIME}"
+    b = f"(({a}) * ({a}) + 12345) % {K.PRIME}"
+    return f"(((({b}) * 69621) % {K.PRIME}) + 0.5) / {K.PRIME}::double"
+
+
+@query("sketch_count_estimates", f"""with c as (select s.row as r, s.slot as k, count(*) n from (select unnest({_slot_sql('l_partkey', 5, 2048)}) s from lineitem) group by 1, 2)
+select l_partkey, min(n) as estimate from (select l_partkey, unnest({_slot_sql('l_partkey', 5, 2048)}) s from (select distinct l_partkey from lineitem)) join c on s.row = r and s.slot = k group by 1""")
+def sketch_count_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """Count-min over whole numbers, whose counters SQL can compute as well."""
     li = load(spark, sf, "lineitem")
-    est = K.count_min_estimate(K.count_min(li, "l_partkey"), li, "l_partkey")
-    exact = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return est.join(exact, "l_partkey").agg(F.count(F.lit(1)).alias("n_values"), F.bool_and(F.col("estimate") >= F.col("n")).alias("never_below"))
+    return K.count_min_estimate(K.count_min(li, "l_partkey", whole=True), li, "l_partkey", whole=True)
 
 
 @query("heavy_hitters", "select user_id, count(*) as n from events group by 1 having count(*) >= 0.01 * (select count(*) from events)")
@@ -175,66 +232,124 @@ def sketch_quantiles_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return ranks.select("l_returnflag", *[(F.abs(F.col(f"q{p}") - p / 100) < 0.03).alias(f"q{p}") for p in (10, 50, 90)])
 
 
-@query("digest_tail_within_bounds", "select true as few, true as whole, true as p99_close from (select 1)")
-def digest_tail_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Centroids of prices: at most 110, all rows in them, and the 99th percentile within 1 % of the exact one."""
-    from pyspark.sql import Window
+_DIGEST = """with v as (select {0} v, count(*) c from {1} where {0} is not null group by 1), r as (select *, sum(c) over (order by v) u, sum(c) over () t from v),
+d as (select sum(v * c) / sum(c) as mean, sum(c) as weight from r group by floor(50 * (asin(2 * ((u - c / 2.0) / t) - 1) / pi() + 0.5)))"""
+
+
+@query("digest_centroids", _DIGEST.format("l_extendedprice", "lineitem") + " select round(mean, 4) as mean, cast(weight as bigint) as weight from d")
+def digest_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids of prices: fine at both ends."""
+    return K.centroid_digest(load(spark, sf, "lineitem"), "l_extendedprice", 100).select(F.round("mean", 4).alias("mean"), "weight")
+
+
+@query("digest_merged_cdf", "select p as price, true as close from (values (2000.0), (20000.0), (45000.0), (90000.0)) t(p) where (select count(*) from lineitem) > 0")
+def digest_merged_cdf(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests per return flag merged into one; its part below a price lies within 2 % of the exact one."""
+    from functools import reduce
 
     li = load(spark, sf, "lineitem")
-    d = K.centroid_digest(li, "l_extendedprice", 100)
-    w = Window.orderBy("mean").rowsBetween(Window.unboundedPreceding, 0)  # about 100 rows
-    t = d.withColumn("upto", F.sum("weight").over(w)).withColumn("total", F.sum("weight").over(Window.partitionBy()))
-    p = t.agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.min(F.when(F.col("upto") - F.col("weight") / 2 >= 0.99 * F.col("total"), F.col("mean"))).alias("p99"))
-    e = li.agg(F.expr("percentile(l_extendedprice, 0.99)").alias("exact"), F.count("l_extendedprice").alias("rows"))
-    return p.join(F.broadcast(e), F.lit(True)).select((F.col("n") <= 110).alias("few"), (F.col("total") == F.col("rows")).alias("whole"), (F.abs(F.col("p99") / F.col("exact") - 1) < 0.01).alias("p99_close"))
+    parts = [K.centroid_digest(li.where(F.col("l_returnflag") == f), "l_extendedprice", 100) for f in ("A", "N", "R")]
+    probes = spark.createDataFrame([(2000.0,), (20000.0,), (45000.0,), (90000.0,)], "price double")
+    est = K.digest_cdf(K.merge_digests(reduce(DataFrame.unionByName, parts)), probes, "price")
+    exact = li.agg(*[F.avg((F.col("l_extendedprice") <= p).cast("double")).alias(f"e{i}") for i, p in enumerate((2000.0, 20000.0, 45000.0, 90000.0))])
+    e = F.element_at(F.create_map(*[x for i, p in enumerate((2000.0, 20000.0, 45000.0, 90000.0)) for x in (F.lit(p), F.col(f"e{i}"))]), F.col("price"))
+    return est.join(F.broadcast(exact), F.lit(True)).select("price", (F.abs(F.col("cdf") - e) < 0.02).alias("close"))
 
 
-@query("bloom_no_false_negatives", "select true as all_found, true as few_false from (select 1)")
+@query("bloom_no_false_negatives", "select c_custkey, true as maybe from customer where c_custkey % 2 = 0")
 def bloom_no_false_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every member is found; the odd keys, which are no members, are looked up as well and dropped where found by mistake."""
     c = load(spark, sf, "customer")
     b = K.bloom_bits(c.where("c_custkey % 2 = 0"), "c_custkey", 1 << 18)
-    m = K.bloom_maybe(c, "c_custkey", b, 1 << 18)
-    odd = F.col("c_custkey") % 2 == 1
-    return m.agg(F.bool_and(F.col("maybe") | odd).alias("all_found"), (F.count_if(F.col("maybe") & odd) <= 0.05 * F.count_if(odd)).alias("few_false"))
+    return K.bloom_maybe(c, "c_custkey", b, 1 << 18).where("c_custkey % 2 = 0").select("c_custkey", "maybe")
 
 
-@query("sample_reservoir", "select 100 as n, true as same_again from (select 1)")
+@query("bloom_counting_after_removal", f"""with s as (select c_custkey k, unnest(list_distinct(list_transform({_slot_sql('c_custkey', 4, 16384)}, lambda z: z.slot))) slot from customer),
+b as (select slot, count(*) n from s where k % 3 <> 1 group by 1) select s.k as c_custkey, bool_and(coalesce(n, 0) > 0) as maybe from s left join b using (slot) group by 1""")
+def bloom_counting_after_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """A counting filter of all customers, from which a third is removed by subtracting its counters."""
+    c = load(spark, sf, "customer").select("c_custkey")
+    whole, gone = K.counting_bloom(c, "c_custkey"), K.counting_bloom(c.where("c_custkey % 3 = 1"), "c_custkey")
+    left = whole.unionByName(gone.withColumn("n", -F.col("n"))).groupBy("slot").agg(F.sum("n").alias("n"))
+    return K.counting_bloom_maybe(c, "c_custkey", left)
+
+
+@query("sample_reservoir", f"select o_orderkey from orders order by {_draw_sql('o_orderkey', 7)} desc, o_orderkey limit 100")
 def sample_reservoir(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").select("o_orderkey")
-    a, b = K.reservoir(o, 100, 7, "o_orderkey"), K.reservoir(o.repartition(5), 100, 7, "o_orderkey")
-    return a.join(b, "o_orderkey", "left_semi").agg(F.count(F.lit(1)).cast("int").alias("n")).select("n", (F.col("n") == 100).alias("same_again"))
+    return K.reservoir(load(spark, sf, "orders").select("o_orderkey"), 100, 7, "o_orderkey", draw=K.whole_draw(F.col("o_orderkey"), 7))
 
 
-@query("sample_weighted", "select 50 as n, true as heavier_than_mean from (select 1)")
+@query("sample_weighted", f"select o_orderkey from orders order by ln({_draw_sql('o_orderkey', 3)}) / (o_totalprice * o_totalprice) desc, o_orderkey limit 50")
 def sample_weighted(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
-    s = K.reservoir(o, 50, 3, "o_orderkey", F.col("o_totalprice") * F.col("o_totalprice"))
-    return s.agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("o_totalprice").alias("m")).join(F.broadcast(o.agg(F.avg("o_totalprice").alias("all_m"))), F.lit(True)).select("n", (F.col("m") > F.col("all_m")).alias("heavier_than_mean"))
+    return K.reservoir(o, 50, 3, "o_orderkey", F.col("o_totalprice") * F.col("o_totalprice"), K.whole_draw(F.col("o_orderkey"), 3)).select("o_orderkey")
 
 
-@query("approximate_total_covers", "select true as covered, true as coreset_close from (select 1)")
-def approximate_total_covers(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders")
-    e = K.sampled_total(o, "o_totalprice", 0.2, "o_orderkey", 11, z=4.0)
-    c = K.sensitivity_coreset(o, "o_totalprice", 2000, 5, "o_orderkey").agg(F.sum(F.col("w") * F.col("o_totalprice")).alias("cs"))
-    t = o.agg(F.sum("o_totalprice").alias("t"))
-    return e.join(F.broadcast(t), F.lit(True)).join(F.broadcast(c), F.lit(True)).select(F.col("t").between(F.col("lo"), F.col("hi")).alias("covered"), (F.abs(F.col("cs") / F.col("t") - 1) < 0.1).alias("coreset_close"))
+@query(
+    "approximate_total",
+    f"""with s as (select o_totalprice / 0.2 wx from orders where {_draw_sql('o_orderkey', 11)} < 0.2), a as (select count(*) / 0.2 n, sum(wx) e, sqrt(sum(wx * wx * 0.8)) se from s)
+select round(n, 4) as n_estimate, round(e, 2) as estimate, round(e - 1.96 * se, 2) as lo, round(e + 1.96 * se, 2) as hi from a""",
+)
+def approximate_total(spark: SparkSession, sf: str) -> DataFrame:
+    e = K.sampled_total(load(spark, sf, "orders"), "o_totalprice", 0.2, "o_orderkey", 11, draw=K.whole_draw(F.col("o_orderkey"), 11))
+    return e.select(F.round("n_estimate", 4).alias("n_estimate"), *[F.round(c, 2).alias(c) for c in ("estimate", "lo", "hi")])
 
 
-@query("private_counts", "select o_orderpriority, count(*) as n from orders group by 1")
+@query(
+    "coreset_by_sensitivity",
+    f"""select o_orderkey, round(1 / p, 8) as w from (select *, least(1.0, 2000 * abs(o_totalprice) / (select sum(abs(o_totalprice)) from orders)) p from orders) where p > 0 and {_draw_sql('o_orderkey', 5)} < p""",
+)
+def coreset_by_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    c = K.sensitivity_coreset(load(spark, sf, "orders"), "o_totalprice", 2000, 5, "o_orderkey", draw=K.whole_draw(F.col("o_orderkey"), 5))
+    return c.select("o_orderkey", F.round("w", 8).alias("w"))
+
+
+@query(
+    "private_counts",
+    f"""select o_orderpriority, round(n + case when u < 0 then 1 else -1 end * ln(1 - 2 * abs(u)) / 0.5, 6) as noisy from (select *, {_draw_sql("ascii(o_orderpriority) * 7919", 1)} - 0.5 u from (select o_orderpriority, count(*) n from orders group by 1))""",
+)
 def private_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Noisy counts at epsilon 50, where rounding gives the true count back; smaller values hide it."""
-    noisy = K.noisy_counts(load(spark, sf, "orders"), ["o_orderpriority"], 50.0, 1)
-    return noisy.select("o_orderpriority", F.round("noisy").cast("bigint").alias("n"))
+    """Laplace noise at epsilon 0.5, drawn from the key so that a check can draw it as well."""
+    noisy = K.noisy_counts(load(spark, sf, "orders"), ["o_orderpriority"], 0.5, 1, draw=K.whole_draw((F.ascii("o_orderpriority") * 7919).cast("bigint"), 1))
+    return noisy.select("o_orderpriority", F.round("noisy", 6).alias("noisy"))
+
 
+@query(
+    "private_answers",
+    f"""with a as (select e, case when u < p then t else 1 - t end r from (select o_orderkey, (o_orderstatus = 'F')::int t, exp(1.0) / (exp(1.0) + 1) p, exp(1.0) e, {_draw_sql('o_orderkey', 2)} u from orders)) select count(*) as n, round((sum(r) - count(*) / (any_value(e) + 1)) / ((any_value(e) - 1) / (any_value(e) + 1)), 6) as estimate from a""",
+)
+def private_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Randomised response at epsilon 1: each row tells the truth with probability e / (e + 1); the estimate takes the bias out."""
+    return K.randomised_response(load(spark, sf, "orders"), F.col("o_orderstatus") == "F", 1.0, K.whole_draw(F.col("o_orderkey"), 2)).select("n", F.round("estimate", 6).alias("estimate"))
 
-@query("budget_ledger")
+
+@query(
+    "budget_ledger",
+    """with recursive e as (select user_id, ts, event_id, case event_type when 'purchase' then 0.5 else 0.1 end::double eps, row_number() over (partition by user_id order by ts, event_id) r from events),
+l as (select user_id, r, eps <= 1 as ok, case when eps <= 1 then eps else 0 end::double spent from e where r = 1 union all
+select e.user_id, e.r, l.spent + e.eps <= 1 + 1e-12, case when l.spent + e.eps <= 1 + 1e-12 then l.spent + e.eps else l.spent end from l join e on e.user_id = l.user_id and e.r = l.r + 1)
+select user_id, event_id, eps as epsilon, ok as accepted, round(spent, 9) as spent from l join e using (user_id, r)""",
+)
 def budget_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's events of the first three days ask for a tenth of the budget, then more."""
+    """Each user's events ask for a tenth of the budget, purchases for half of it."""
     e = load(spark, sf, "events").withColumn("eps", F.when(F.col("event_type") == "purchase", 0.5).otherwise(0.1))
     return K.budget_ledger(e, "user_id", ["ts", "event_id"], "eps", 1.0).select("user_id", "event_id", "epsilon", "accepted", "spent")
 
 
+@query(
+    "budget_renyi",
+    """with a(alpha) as (values (2.0), (4.0), (8.0), (16.0), (32.0)), l as (select user_id, alpha, sum(alpha * power(case event_type when 'purchase' then 2 else 1 end, 2) / (2 * 400)) l from events, a group by 1, 2)
+select user_id, round(min(l + ln(1 / 1e-5) / (alpha - 1)), 8) as epsilon from l group by 1""",
+)
+def budget_renyi(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaussian answers (sigma 20, sensitivity 1 or 2) composed over Renyi orders, as one epsilon per user."""
+    orders = [2.0, 4.0, 8.0, 16.0, 32.0]
+    one, two = (dict(zip(orders, K.gaussian_loss(x, 20.0, orders))) for x in (1.0, 2.0))
+    cells = F.array(*[F.struct(F.lit(a).alias("alpha"), F.when(F.col("event_type") == "purchase", two[a]).otherwise(one[a]).alias("loss")) for a in orders])
+    e = load(spark, sf, "events").select("user_id", F.inline(cells))
+    return K.renyi_epsilon(e, "user_id", 1e-5).select("user_id", F.round("epsilon", 8).alias("epsilon"))
+
+
 # ---------------------------------------------------------------- sequences
 
 #: Two views, then a click within two days, then a purchase within four.
@@ -248,11 +363,11 @@ def sequence_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "hash_chain",
-    """with recursive e as (select user_id, event_id, event_type || ':' || event_id c, row_number() over (partition by user_id order by event_id) r from events where event_type = 'signup'),
+    """with recursive e as (select user_id, event_id, event_type || ':' || event_id c, row_number() over (partition by user_id order by event_id) r from events),
 h as (select user_id, event_id, r, sha256(c) link from e where r = 1 union all select e.user_id, e.event_id, e.r, sha256(h.link || e.c) from h join e on e.user_id = h.user_id and e.r = h.r + 1) select user_id, event_id, link from h""",
 )
 def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").where("event_type = 'signup'").withColumn("c", F.concat_ws(":", "event_type", "event_id"))
+    e = load(spark, sf, "events").withColumn("c", F.concat_ws(":", "event_type", "event_id"))
     return S.hash_chain(e, "user_id", ["event_id"], "c")
 
 
@@ -306,13 +421,12 @@ def layout_compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
     return L.compaction_plan(f, 4000)
 
 
-@query("vector_top_k")
+@query(
+    "vector_top_k",
+    """select query_id, vec_id, cosine from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) r from (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as cosine
+from embeddings q, embeddings v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id)) where r <= 5""",
+)
 def vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    """The five nearest vectors by cosine of every hundredth vector against all; queries are sent in blocks."""
+    """The five nearest vectors by cosine of every hundredth vector against all."""
     e = load(spark, sf, "embeddings")
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = e.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x / norm(F.col("embedding").cast("array<double>"))).alias("u"))
-    q = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    score = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = unit.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(score, 6).alias("cosine"))
-    return K.top_k(pairs, ["query_id"], [F.desc("cosine"), F.col("vec_id")], 5)
+    return L.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
