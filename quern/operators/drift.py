@@ -5,7 +5,8 @@ a profile: its types, its name, and a sketch of its values: the values of a fixe
 of record ids that is drawn by hash, so that two files sample the same ids. Fields that
 go in a file and fields that come are two sides of a bipartite graph, weighted by how far
 their sketches agree on common ids, then by type and name; the best assignment gives the
-candidates for renames, and an exact comparison over all common ids decides. Fields
+candidates for renames, and an exact comparison over all common ids decides. Where two files have no id in
+common, sketches of the values themselves are compared, with types and names. Fields
 of a subject that are linked by renames are one column of the unified table.
 
 Defined cases: payloads that are no JSON objects are unreadable and skipped; a file
@@ -29,6 +30,9 @@ from ..plans.runtime import materialize
 SKETCH_IDS = 1024
 #: Least part of the common ids that must hold the same value for a rename.
 SAME_VALUES = 0.5
+#: Files without a common id: distinct values in a field's sketch, and least likeness of the names (1 less edits by length).
+SKETCH_VALUES = 256
+NAME_LIKENESS = 0.3
 
 _FIELD_SCHEMA = "subject string, file_no int, event_id long, id string, path string, jtype string, value string"
 
@@ -111,13 +115,11 @@ def _leaf(c: str) -> Column:
     return F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", ""))
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+def best_pairs(scores: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
     """Best assignment of gone to come fields of one file step (its size is that of the schema): shortest augmenting paths."""
-    rows, cols = sorted(pdf["old_field"].unique()), sorted(pdf["new_field"].unique())
+    rows, cols = sorted({o for o, _ in scores}), sorted({c for _, c in scores})
     n, m = len(rows), max(len(rows), len(cols))
-    cost = [[0.0] * m for _ in range(n)]
-    for o, c, s in zip(pdf["old_field"], pdf["new_field"], pdf["score"]):
-        cost[rows.index(o)][cols.index(c)] = -float(s)
+    cost = [[-scores.get((o, c), 0.0) for c in cols] + [0.0] * (m - len(cols)) for o in rows]
     u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
         owner[0], j0, low, way, used = i, 0, [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
@@ -139,13 +141,62 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
             j0 = j1
         while j0:
             owner[j0], j0 = owner[way[j0]], way[j0]
-    pairs = [(rows[owner[j] - 1], cols[j - 1]) for j in range(1, len(cols) + 1) if owner[j] and cost[owner[j] - 1][j - 1] < 0]
-    first = pdf.iloc[0]
-    return pd.DataFrame([(first["subject"], first["file_no"], o, c) for o, c in pairs], columns=["subject", "file_no", "old_field", "new_field"])
+    return [(rows[owner[j] - 1], cols[j - 1]) for j in range(1, len(cols) + 1) if owner[j] and cost[owner[j] - 1][j - 1] < 0]
 
 
-def renames(fields: DataFrame, steps: DataFrame) -> DataFrame:
-    """Renamed fields: subject, file_no, old_field, new_field."""
+def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Assignments of all steps of a partition that is sorted by step; one step's scores are held at a time."""
+    now, scores = None, {}
+    for b in batches:
+        out = []
+        for subject, no, o, c, s in zip(b["subject"], b["file_no"], b["old_field"], b["new_field"], b["score"]):
+            if (subject, no) != now:
+                out += [(*now, x, y) for x, y in best_pairs(scores)] if now else []
+                now, scores = (subject, no), {}
+            scores[o, c] = float(s)
+        yield pd.DataFrame(out, columns=["subject", "file_no", "old_field", "new_field"])
+    if now:
+        yield pd.DataFrame([(*now, x, y) for x, y in best_pairs(scores)], columns=["subject", "file_no", "old_field", "new_field"])
+
+
+def _assigned(near: DataFrame, label: str) -> DataFrame:
+    # a fixed number of partitions, since small rows would be brought into one task
+    n = max(1, int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = near.select("subject", "file_no", "old_field", "new_field", "score").repartition(n, "subject", "file_no").sortWithinPartitions("subject", "file_no")
+    return materialize(rows.mapInPandas(_assign, "subject string, file_no int, old_field string, new_field string"), label)
+
+
+def _name_likeness() -> Column:
+    return 1 - F.levenshtein(_leaf("old_field"), _leaf("new_field")) / F.greatest(F.length(_leaf("old_field")), F.length(_leaf("new_field")), F.lit(1))
+
+
+def _by_distribution(f: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Renames in steps whose two files have no id in common: fields of one type with like names and overlapping values.
+
+    A field's values are sketched by those of least hash (``SKETCH_VALUES`` distinct ones); the overlap is the part of the smaller
+    sketch, below the lesser of both ends, that the other one has as well.
+    """
+    step = ["subject", "file_no"]
+    met = f.where("side = 'gone'").select(*step, "id").join(f.where("side = 'come'").select(*step, "id"), [*step, "id"]).select(*step).distinct()
+    apart = f.join(met, step, "left_anti")
+    own = apart.groupBy(*step, "side", "path", F.xxhash64("value").alias("h")).agg(F.lit(1).alias("_1"))
+    w = Window.partitionBy(*step, "side", "path").orderBy("h")
+    sk = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SKETCH_VALUES).groupBy(*step, "side", "path").agg(F.collect_list("h").alias("hs"))  # at most SKETCH_VALUES entries
+    g = sk.where("side = 'gone'").select(*step, F.col("path").alias("old_field"), F.col("hs").alias("a"))
+    c = sk.where("side = 'come'").select(*step, F.col("path").alias("new_field"), F.col("hs").alias("b"))
+    end = F.least(F.array_max("a"), F.array_max("b"))
+    a, b = (F.filter(x, lambda h: h <= end) for x in ("a", "b"))
+    j = g.join(c, step).withColumn("overlap", F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1)))
+    j = _with_types(j, kinds).where((F.col("t1") == F.col("t2")) & (F.col("overlap") >= SAME_VALUES)).withColumn("_name", _name_likeness()).where(F.col("_name") >= NAME_LIKENESS)
+    return _assigned(j.withColumn("score", F.col("overlap") + F.col("_name")), "assigned-apart")
+
+
+def _with_types(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    return pairs.join(kinds.withColumnsRenamed({"path": "old_field", "t": "t1"}), ["subject", "file_no", "old_field"]).join(kinds.withColumnsRenamed({"path": "new_field", "t": "t2"}), ["subject", "file_no", "new_field"])
+
+
+def renames(fields: DataFrame, steps: DataFrame, without_ids: bool = True) -> DataFrame:
+    """Renamed fields: subject, file_no, old_field, new_field; ``without_ids`` looks at files without a common id as well."""
     newest = Window.partitionBy("subject", "file_no", "id", "path").orderBy(F.col("event_id").desc(), F.col("value").desc())
     # only steps in which fields both go and come can hold a rename
     open_steps = steps.groupBy("subject", "file_no").agg(F.max(F.col("side") == "gone").alias("g"), F.max(F.col("side") == "come").alias("c")).where("g and c").select("subject", "file_no")
@@ -159,22 +210,22 @@ def renames(fields: DataFrame, steps: DataFrame) -> DataFrame:
     sketch = f.withColumn("_b", bucket).withColumn("_m", F.min(F.xxhash64(F.lit(7), "id")).over(least)).where(F.xxhash64(F.lit(7), "id") == F.col("_m"))
     near = _agreement(sketch.where("side = 'gone'"), sketch.where("side = 'come'"))
     kinds = steps.select("subject", "file_no", "path", F.coalesce("old_type", "new_type").alias("t"))
-    near = near.join(kinds.withColumnsRenamed({"path": "old_field", "t": "t1"}), ["subject", "file_no", "old_field"]).join(kinds.withColumnsRenamed({"path": "new_field", "t": "t2"}), ["subject", "file_no", "new_field"])
-    name = 1 - F.levenshtein(_leaf("old_field"), _leaf("new_field")) / F.greatest(F.length(_leaf("old_field")), F.length(_leaf("new_field")), F.lit(1))
-    score = F.col("n_same") / F.col("n_common") + F.when(F.col("t1") == F.col("t2"), 0.02).otherwise(0.0) + 0.05 * name
+    near = _with_types(near, kinds)
+    score = F.col("n_same") / F.col("n_common") + F.when(F.col("t1") == F.col("t2"), 0.02).otherwise(0.0) + 0.05 * _name_likeness()
     near = near.where("n_same > 0").withColumn("score", score)
-    found = materialize(near.groupBy("subject", "file_no").applyInPandas(_assign, "subject string, file_no int, old_field string, new_field string"), "assigned")
+    found = _assigned(near, "assigned")
     exact = _agreement(
         f.where("side = 'gone'").join(found.select("subject", "file_no", F.col("old_field").alias("path")), ["subject", "file_no", "path"], "left_semi"),
         f.where("side = 'come'").join(found.select("subject", "file_no", F.col("new_field").alias("path")), ["subject", "file_no", "path"], "left_semi"),
     ).where(F.col("n_same") >= SAME_VALUES * F.col("n_common"))
-    return found.join(exact, ["subject", "file_no", "old_field", "new_field"], "left_semi")
+    same = found.join(exact, ["subject", "file_no", "old_field", "new_field"], "left_semi")
+    return same.unionByName(_by_distribution(f, kinds)) if without_ids else same
 
 
-def changes(fields: DataFrame) -> DataFrame:
+def changes(fields: DataFrame, without_ids: bool = True) -> DataFrame:
     """All changes between files: subject, file_no, change_kind, old_field, new_field."""
     steps = materialize(file_steps(profiles(fields)), "steps")
-    r = materialize(renames(fields, steps), "renames")
+    r = materialize(renames(fields, steps, without_ids), "renames")
     gone = steps.where("side = 'gone'").join(r.select("subject", "file_no", F.col("old_field").alias("path")), ["subject", "file_no", "path"], "left_anti")
     come = steps.where("side = 'come'").join(r.select("subject", "file_no", F.col("new_field").alias("path")), ["subject", "file_no", "path"], "left_anti")
     retyped = steps.where("side = 'both' and old_type <> new_type")

@@ -168,14 +168,15 @@ def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(materialize(drift.flattened(load(spark, sf, "schema_events")), "fields"))
+    """A rename is defined by the values of common ids here, so files without any have none."""
+    return drift.changes(materialize(drift.flattened(load(spark, sf, "schema_events")), "fields"), without_ids=False)
 
 
 @query("p5_unified")
 def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     """All payloads as one table with a column name that outlives renames."""
     f = materialize(drift.flattened(load(spark, sf, "schema_events")), "fields")
-    return drift.unified(f, drift.changes(f))
+    return drift.unified(f, drift.changes(f, without_ids=False))
 
 
 def user_fields(spark: SparkSession, sf: str) -> DataFrame:

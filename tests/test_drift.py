@@ -1,6 +1,9 @@
+import itertools
 import json
+import random
 
 from quern.operators import drift as D
+from quern.plans.runtime import materialize
 
 SCHEMA = "event_id bigint, subject string, file_no int, payload string, extra string"
 
@@ -66,3 +69,24 @@ def test_changes_of_a_table_of_versions(spark, tmp_path):
     u = p5_users(spark, str(tmp_path)).collect()
     assert len(u) == 160 and all(r["username"] == f"n{r['id']}" and r["status"] == ("active", "closed", "open")[r["id"] % 3] for r in u)
     assert all(r["tier"] == str(r["id"] % 4) and r["phone"] == f"84{r['id']:03}77" for r in u if r["_cdc_lsn"] >= 200)
+
+
+def test_rename_between_files_without_common_ids(spark):
+    """By values, type and name; a field that only looks alike in name or only in values isn't one."""
+    rows = []
+    for i in range(40):
+        rows.append(("s", 1, i, json.dumps({"id": i, "status": ["new", "paid", "sent"][i % 3], "amount": i, "flag": i % 2 == 0})))
+        rows.append(("s", 2, 100 + i, json.dumps({"id": 1000 + i, "account_status": ["new", "paid", "sent"][i % 3], "amount_note": f"n{i}", "open": i % 2 == 0})))
+    df = spark.createDataFrame(rows, "subject string, file_no int, event_id bigint, payload string")
+    got = {tuple(r)[2:] for r in D.changes(materialize(D.flattened(df))).collect()}
+    assert got == {("renamed", "status", "account_status"), ("removed", "amount", ""), ("removed", "flag", ""), ("added", "", "amount_note"), ("added", "", "open")}
+
+
+def test_best_pairs_against_all_assignments():
+    rnd = random.Random(4)
+    for _ in range(30):
+        o, c = [f"o{k}" for k in range(rnd.randint(1, 4))], [f"c{k}" for k in range(rnd.randint(1, 4))]
+        s = {(x, y): rnd.random() for x in o for y in c if rnd.random() < 0.8}
+        total = sum(s[p] for p in D.best_pairs(s))
+        cs = [*c, *[None] * len(o)]
+        assert abs(total - max(sum(s.get((x, y), 0) for x, y in zip(o, p)) for p in itertools.permutations(cs, len(o)))) < 1e-9
