@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordering import range_sorted, with_running
+
 
 def fitted(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of mean, deviation, minimum and maximum per column, to be applied to any table later."""
@@ -183,3 +185,46 @@ def reconciled(sides: dict[str, DataFrame], key: str, amount: str, tolerance: fl
     absent = F.array_sort(F.array_except(F.array(*[F.lit(s) for s in sides]), F.col("seen")))
     status = F.when(F.size(absent) > 0, "missing").when(F.col("hi") - F.col("lo") > tolerance, "mismatch").otherwise("matched")
     return g.select(key, status.alias("status"), F.array_join(absent, ",").alias("absent"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread"))
+
+
+def clipped(column: str, lo: float, hi: float) -> Column:
+    return F.least(F.greatest(F.col(column), F.lit(lo)), F.lit(hi))
+
+
+def ordinal(column: str, order: list[str]) -> Column:
+    """Place of a value in a bounded order, from 0; null for others."""
+    at = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(column))
+    return F.when(at > 0, at - 1).cast("bigint")
+
+
+def lagged(df: DataFrame, key: list[str], order: list[str], column: str, steps: list[int]) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in steps})
+
+
+def merged_signed_counters(replicas: DataFrame, key: str, node: str, ups: str, downs: str) -> DataFrame:
+    """Counters that go both ways: per node the greatest number of ups and of downs, then their difference."""
+    n = replicas.groupBy(key, node).agg(F.max(ups).alias("_u"), F.max(downs).alias("_d"))
+    return n.groupBy(key).agg((F.sum("_u") - F.sum("_d")).alias("total"))
+
+
+def merged_sets(adds: DataFrame, removals: DataFrame, key: str, element: str, tag: str) -> DataFrame:
+    """Observed-remove sets: an element is in the set while one of its add tags isn't removed; an add wins over what the removal didn't see."""
+    return adds.select(key, element, tag).distinct().join(removals.select(key, element, tag), [key, element, tag], "left_anti").select(key, element).distinct()
+
+
+def dictionary_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): codes from 0 by falling frequency, ties by value. The numbers come from a range sort, not from one window."""
+    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_one"))
+    return with_running(range_sorted(n, [F.desc("_n"), F.col("value")]), {"_at": "_one"}).select("value", (F.col("_at") - 1).cast("bigint").alias("code"))
+
+
+def deltas(df: DataFrame, key: list[str], order: list[str], column: str) -> DataFrame:
+    """Delta encoding per key in order: the first value, then differences; a running sum decodes it."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("delta", F.col(column) - F.coalesce(F.lag(column).over(w), F.lit(0)))
+
+
+def undeltas(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("decoded", F.sum("delta").over(w))

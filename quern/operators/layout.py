@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.ordering import range_sorted, with_running
 from ..plans.runtime import scratch
@@ -142,3 +142,33 @@ def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: in
         near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").write.mode("append").parquet(out)
         sent.unpersist()
     return spark.read.schema(schema).parquet(out) if n else spark.createDataFrame([], schema)
+
+
+def file_stats(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(file, min_value, max_value, n) of a column per data file: a manifest, made by a scan of that column alone."""
+    return spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min(column).alias("min_value"), F.max(column).alias("max_value"), F.count(F.lit(1)).alias("n"))
+
+
+def files_in_range(spark: SparkSession, path: str, column: str, lo: str | None, hi: str | None) -> list[str]:
+    """Files that may hold values between two bounds; as many as the planner lists anyway."""
+    s = file_stats(spark, path, column)
+    kind = dict(s.dtypes)["min_value"]
+    low = F.col("max_value") if lo is None else F.lit(lo).cast(kind)
+    high = F.col("min_value") if hi is None else F.lit(hi).cast(kind)
+    return [r["file"] for r in prunable(s, low, high).where("not skip").select("file").collect()]
+
+
+def quantile_scores(df: DataFrame, columns: dict[str, str], parts: int) -> DataFrame:
+    """Adds for each column a score from 1 to ``parts`` by the part of all rows at or below its value.
+
+    Ranks come from a range sort of the distinct values; nulls get no score.
+    """
+    out = df
+    for c, name in columns.items():
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        d = with_running(range_sorted(counts, [F.col("_v")]), {"_le": "_n"})
+        total = F.broadcast(d.agg(F.max("_le").alias("_t")))  # one row
+        # in whole numbers, so that a share on a boundary falls where it should
+        score = F.least(F.lit(parts), F.greatest(F.lit(1), F.ceil(F.col("_le") * parts / F.col("_t")))).cast("int")
+        out = out.join(d.join(total, F.lit(True)).select("_v", score.alias(name)), F.col(c) == F.col("_v"), "left").drop("_v")
+    return out

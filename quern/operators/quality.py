@@ -137,3 +137,31 @@ def illegal_transitions(df: DataFrame, key: str, order: list[str], state: str, a
     prev = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in allowed])
     return df.withColumn("previous", prev).where(F.col("previous").isNotNull() & ~F.array_contains(pairs, F.struct(F.col("previous").alias("a"), F.col(state).alias("b"))))
+
+
+@dataclass(frozen=True)
+class Contract:
+    """What a table promises: columns with their types, a time column that is at most so many hours old, and checks with the least part of rows that pass."""
+
+    columns: dict[str, str]
+    fresh: tuple[str, float] | None = None
+    checks: tuple[tuple[Check, float], ...] = ()
+
+
+def kept_contract(df: DataFrame, contract: Contract, now: Column) -> DataFrame:
+    """(rule, kept): a row per promise; one aggregate for all checks. An empty table breaks a promise of freshness only."""
+    have = dict(df.dtypes)
+    rows = [(f"column:{c}", have.get(c) == t) for c, t in contract.columns.items()]
+    known = [(c, least) for c, least in contract.checks if c.name.split(":")[-1] in have]
+    rows += [(c.name, False) for c, _ in contract.checks if c.name.split(":")[-1] not in have]
+    aggs = [(F.count_if(F.coalesce(c.good, F.lit(False))) >= least * F.count(F.lit(1))).alias(f"_{i}") for i, (c, least) in enumerate(known)]
+    names = [c.name for c, _ in known]
+    if contract.fresh and contract.fresh[0] in have:
+        col, hours = contract.fresh
+        aggs.append(F.coalesce(F.max(col).cast("timestamp") >= now.cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600)), F.lit(False)).alias(f"_{len(names)}"))
+        names.append(f"fresh:{col}")
+    fixed = df.sparkSession.createDataFrame(rows, "rule string, kept boolean")
+    if not aggs:
+        return fixed
+    cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{i}").alias("kept")) for i, n in enumerate(names)])
+    return fixed.unionByName(df.agg(*aggs).select(F.inline(cells)))

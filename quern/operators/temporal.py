@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -210,22 +211,41 @@ def relative_strength(df: DataFrame, key: list[str], order: list[str], value: st
 
 
 def dynamic_watermarks(df: DataFrame, source: list[str], batch: str, time: str, arrival: str, percentile: float, least_seconds: int) -> DataFrame:
-    """Per source and batch the lag that a percentile of its rows arrived within so far, and whether a row is later than that.
+    """Adds ``allowed_seconds``, the lag within which a percentile of the source's rows of earlier batches arrived, and ``late``.
 
-    The lag is taken over all earlier batches of the source; the first batch has the least lag. Percentiles are exact
-    over whole seconds of lag: a histogram per source and batch, whose rows are lags and not events, is summed up.
-    Adds ``allowed_seconds`` and ``late``.
+    Percentiles are exact over whole seconds of lag (the first of at least that part of the rows). A source's state is a
+    histogram of its lags, fed by counts per batch and lag, so no row passes through Python; the first batch has the least lag.
+    Rows without batch or times are left out.
     """
     sec = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col(arrival).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1_000_000))
     rows = df.where(F.col(time).isNotNull() & F.col(arrival).isNotNull() & F.col(batch).isNotNull()).withColumn("_lag", sec)
     seen = rows.groupBy(*source, batch, "_lag").agg(F.count(F.lit(1)).alias("_n"))
-    batches = rows.select(*source, batch).distinct().withColumnRenamed(batch, "_at")
-    past = batches.join(seen, source).where(F.col(batch) < F.col("_at")).groupBy(*source, "_at", "_lag").agg(F.sum("_n").alias("_n"))
-    order = Window.partitionBy(*source, "_at").orderBy("_lag")
-    ranked = past.withColumn("_c", F.sum("_n").over(order)).withColumn("_t", F.sum("_n").over(Window.partitionBy(*source, "_at")))
-    allowed = ranked.where(F.col("_c") >= F.ceil(percentile * F.col("_t"))).groupBy(*source, F.col("_at").alias(batch)).agg(F.min("_lag").alias("_a"))
-    j = rows.join(allowed, [*source, batch], "left").withColumn("allowed_seconds", F.greatest(F.coalesce("_a", F.lit(0)), F.lit(least_seconds)).cast("bigint"))
-    return j.withColumn("late", F.col("_lag") > F.col("allowed_seconds")).select(*df.columns, "allowed_seconds", "late")
+
+    def start() -> Callable[[int, int, int], tuple | None]:
+        past: dict[int, int] = {}
+        now: list = [None]
+        waiting: list[tuple[int, int]] = []
+
+        def step(b: int, lag: int, n: int) -> tuple | None:
+            out = None
+            if b != now[0]:
+                for k, c in waiting:
+                    past[k] = past.get(k, 0) + c
+                waiting.clear()
+                now[0], need, upto, at = b, math.ceil(percentile * sum(past.values())), 0, 0
+                for k in sorted(past):
+                    upto += past[k]
+                    if upto >= need:
+                        at = k
+                        break
+                out = (max(at, least_seconds),)
+            waiting.append((lag, n))
+            return out
+
+        return step
+
+    allowed = folded(seen.withColumn("_b", F.col(batch)), source, [batch, "_lag"], ["_b", "_lag", "_n"], start, "allowed_seconds bigint").drop("_lag")
+    return rows.join(allowed, [*source, batch]).withColumn("late", F.col("_lag") > F.col("allowed_seconds")).select(*df.columns, "allowed_seconds", "late")
 
 
 def reordered(df: DataFrame, source: list[str], arrival: list[str], time: str, hold_seconds: int, identity: list[str]) -> tuple[DataFrame, DataFrame]:

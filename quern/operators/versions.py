@@ -77,9 +77,12 @@ def changed_columns(old: str, new: str) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(z, lambda k, v: v)))
 
 
-def retained(df: DataFrame, key: list[str], at: str, tie: str, now: Column, ttl_days: int | None = None, most: int | None = None, most_bytes: int | None = None, size: str | None = None) -> DataFrame:
-    """Rows kept by age, by count per key, or by running size per key; a row goes if any rule drops it."""
+def retained(df: DataFrame, key: list[str], at: str, tie: str, now: Column, ttl_days: int | None = None, most: int | None = None, most_bytes: int | None = None, size: str | None = None, tagged: Column | None = None) -> DataFrame:
+    """Rows kept by age, by count per key, or by running size per key; a row goes if any rule drops it, unless it is ``tagged``."""
     w = Window.partitionBy(*key).orderBy(F.desc(at), F.desc(tie))
+    if tagged is not None:
+        rest = retained(df.where(~F.coalesce(tagged, F.lit(False))), key, at, tie, now, ttl_days, most, most_bytes, size)
+        return rest.unionByName(df.where(F.coalesce(tagged, F.lit(False))))
     out = df
     if ttl_days is not None:
         out = out.where(F.col(at) >= now - F.expr(f"interval {ttl_days} days"))
@@ -93,8 +96,8 @@ def retained(df: DataFrame, key: list[str], at: str, tie: str, now: Column, ttl_
 class VersionedTable:
     """Parquet data files under a log of versions: append, delete, overwrite, time travel, rollback, vacuum.
 
-    Each commit is a JSON file ``_log/N.json`` with the full list of live directories, created
-    only if N doesn't exist yet; two writers can't both make version N.
+    Each commit is a JSON file ``_log/N.json`` with the full list of live directories. It is written under another name and
+    renamed when it is whole, so a writer that dies leaves no version half made; the second of two writers of a version fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -117,11 +120,20 @@ class VersionedTable:
     def _commit(self, entry: dict) -> int:
         import json
 
+        import uuid
+
         fs, path = self._fs()
-        n = (self.versions() or [0])[-1] + 1
-        stream = fs.create(path(f"{self.root}/_log/{n:08d}.json"), False)  # fails if another writer made it
+        part = path(f"{self.root}/_new-{uuid.uuid4().hex}")
+        stream = fs.create(part, False)
         stream.write(bytearray(json.dumps(entry), "utf-8"))
         stream.close()
+        n = (self.versions() or [0])[-1] + 1
+        fs.mkdirs(path(f"{self.root}/_log"))
+        target = path(f"{self.root}/_log/{n:08d}.json")
+        # the whole entry appears at once; a rename onto an existing name fails, so another writer's version is never lost
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise RuntimeError(f"version {n} was made by another writer; read again and retry")
         return n
 
     def _write(self, df: DataFrame) -> str:
@@ -166,3 +178,23 @@ class VersionedTable:
         for d in gone:
             fs.delete(path(f"{self.root}/{d}"), True)
         return gone
+
+
+def scd4(changes: DataFrame, key: list[str], at: str, tie: list[str], op: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The current rows, and a history table of all earlier ones with the time each was replaced."""
+    v = scd2(changes, key, at, tie, op, columns)
+    return v.where("is_current").select(*key, *columns, "valid_from"), v.where("not is_current").select(*key, *columns, "valid_from", F.col("valid_to").alias("replaced_at"))
+
+
+def merge_closing(dim: DataFrame, snapshot: DataFrame, key: list[str], columns: list[str], at: Column) -> DataFrame:
+    """A merge that keeps history: changed keys have their current row closed at ``at`` and get a new one, new keys get one, the rest stays.
+
+    ``dim`` has key, columns, valid_from, valid_to (null while current); absence from the snapshot means nothing.
+    """
+    now = snapshot.select(*key, F.struct(*columns).alias("_new"), F.lit(True).alias("_in"))
+    j = dim.where("valid_to is null").join(now, key, "full_outer")
+    differs = F.coalesce("_in", F.lit(False)) & ~F.coalesce(F.struct(*columns).eqNullSafe(F.col("_new")) & F.col("valid_from").isNotNull(), F.lit(False))
+    kept = j.where("valid_from is not null").select(*key, *columns, "valid_from", F.when(differs, at).alias("valid_to"))
+    fresh = j.where(differs).select(*key, *[F.col(f"_new.{c}").alias(c) for c in columns], at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    past = dim.where("valid_to is not null").select(*key, *columns, "valid_from", "valid_to")
+    return past.unionByName(kept).unionByName(fresh)

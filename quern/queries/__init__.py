@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["data_problems", "relational", "temporal", "lifecycle", "advanced", "flows", "composites"]
+MODULES = ["data_problems", "relational", "temporal", "lifecycle", "advanced", "flows", "composites", "signals"]
 
 
 def load_all() -> None:

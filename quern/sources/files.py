@@ -71,3 +71,34 @@ def replay(log: DataFrame, offset: str, time: str, from_offset: int | None = Non
     if until is not None:
         out = out.where(F.col(time) < F.lit(until).cast("timestamp_ntz"))
     return out
+
+
+def read_bar_separated(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Text files without a header whose fields end in a bar, as benchmark generators write them."""
+    return spark.read.schema(f"{schema}, _end string").option("sep", "|").option("header", "false").csv(path).drop("_end")
+
+
+def write_bar_separated(df: DataFrame, path: str) -> None:
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat(F.concat_ws("|", *cells), F.lit("|"))).write.text(path)
+
+
+def with_rescued(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A column of JSON objects read by a schema: its fields, and in ``_rescued`` whatever the schema doesn't have, as text by name.
+
+    A text that is no object gives nulls, with itself under the name ``_corrupt``.
+    """
+    names = [f.split()[0] for f in schema.split(",")]
+    every = F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"})
+    known = F.from_json(column, schema)
+    rest = F.map_filter(every, lambda k, v: ~k.isin(*names))
+    rescued = F.when(F.col(column).isNull(), None).when(every.isNull(), F.create_map(F.lit("_corrupt"), F.col(column))).otherwise(rest)
+    return df.withColumn("_known", known).withColumn("_rescued", rescued).select(*[c for c in df.columns if c != column], "_known.*", "_rescued")
+
+
+def generated_lines(spark: SparkSession, n: int, parts: int = 8) -> DataFrame:
+    """``n`` made-up order lines (id, order_no, quantity, price, day), by arithmetic on their number: the same for any cut."""
+    i = F.col("id")
+    quantity = (i * 7919 + 13) % 50 + 1
+    price = ((i * 104729 + 7) % 100_000) / 100
+    return spark.range(0, n, 1, parts).select("id", F.floor(i / 4).alias("order_no"), quantity.alias("quantity"), price.alias("price"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 366).cast("int")).alias("day"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.runtime import scratch
@@ -104,6 +104,76 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.select(key, F.col(value).cast("double").alias("_v")).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def last_rows(events: DataFrame, key: str, time: str, row_id: str, most: int) -> DataFrame:
+    """List state: after each batch the ids of a key's last ``most`` rows by time and id, in order."""
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for f in frames:
+            held += list(zip(f["_us"].tolist(), f["_id"].tolist()))
+        held = sorted(held)[-most:]
+        state.update(([u for u, _ in held], [i for _, i in held]))
+        yield pd.DataFrame({key: [k[0]], "ids": [[i for _, i in held]]})
+
+    kind = dict(events.dtypes)[key]
+    src = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), F.col(row_id).cast("bigint").alias("_id"))
+    return src.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ids array<bigint>", "us array<bigint>, ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def kind_counts(events: DataFrame, key: str, kind: str) -> DataFrame:
+    """Map state: after each batch a key's rows of every kind, as (kind, n) of the kinds the batch has."""
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, counts = state.get if state.exists else ([], [])
+        held, met = dict(zip(names, counts)), set()
+        for f in frames:
+            for x, n in f["_kind"].value_counts().items():
+                held[x] = held.get(x, 0) + int(n)
+                met.add(x)
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({key: [k[0]] * len(met), "kind": sorted(met), "n": [held[x] for x in sorted(met)]})
+
+    t = dict(events.dtypes)[key]
+    return events.where(F.col(kind).isNotNull()).select(key, F.col(kind).alias("_kind")).groupBy(key).applyInPandasWithState(update, f"{key} {t}, kind string, n bigint", "kinds array<string>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def counts_since_idle(events: DataFrame, key: str, time: str, ttl_seconds: int) -> DataFrame:
+    """Value state with a time to live: rows of a key since it was idle for longer than ``ttl_seconds`` of event time.
+
+    State that is older than that when the next row comes is dropped and begins anew; events must come in order of time.
+    """
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        for t in sorted(x for f in frames for x in f["_us"].tolist()):
+            n = 1 if last is None or t - last > ttl_seconds * 1_000_000 else n + 1
+            last = t
+        state.update((last, n))
+        yield pd.DataFrame({key: [k[0]], "n": [n]})
+
+    kind = dict(events.dtypes)[key]
+    src = events.where(F.col(time).isNotNull()).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_us"))
+    return src.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n bigint", "last bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+class QualityGate:
+    """Takes in the batches whose part of good rows reaches ``least``; others go to quarantine whole. Each batch once."""
+
+    def __init__(self, spark: SparkSession, root: str, good: Column, least: float):
+        self.spark, self.root, self.good, self.least = spark, root, good, least
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        ok = F.coalesce(self.good, F.lit(False))
+        held = batch.persist()
+        rate = held.agg(F.coalesce(F.avg(ok.cast("double")), F.lit(1.0))).first()[0]
+        side = "passed" if rate >= self.least else "quarantine"
+        held.withColumn("_ok", ok).write.mode("overwrite").parquet(f"{self.root}/side={side}/batch={number}")
+        held.unpersist()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.root).parquet(f"{self.root}/side=*")
+
+
 def late_by_running_maximum(events: DataFrame, source: list[str], arrival: list[str], time: str, bound_seconds: int) -> DataFrame:
     """Batch twin of a per-event watermark: ``late`` if the event is older than the latest seen before it less a bound.
 
