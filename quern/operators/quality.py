@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordering import range_sorted, with_running
+
 
 @dataclass(frozen=True)
 class Check:
@@ -165,3 +167,25 @@ def kept_contract(df: DataFrame, contract: Contract, now: Column) -> DataFrame:
         return fixed
     cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{i}").alias("kept")) for i, n in enumerate(names)])
     return fixed.unionByName(df.agg(*aggs).select(F.inline(cells)))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], discrete: tuple[str, ...] = ()) -> DataFrame:
+    """keys and exact percentiles by name: between the two nearest values, or for the ``discrete`` ones the first value of rank p * n.
+
+    Values are counted (combined before the shuffle), range-sorted, and running counts find the ranks, so no
+    group is ever in one task or in one hash map, however few groups there are. Null values don't count; a group of nulls has no row.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    lined = with_running(range_sorted(counts, [*[F.col(k) for k in keys], F.col("_v")]), {"_upto": "_c"}, keys)
+    n = lined.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    j = lined.join(n, keys) if keys else lined.join(F.broadcast(n), F.lit(True))
+    aggs, out = [], []
+    for name, p in wanted.items():
+        if name in discrete:
+            aggs.append(F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(p * F.col("_n"))), F.col("_v"))).alias(name))
+            out.append(F.col(name))
+            continue
+        at = p * (F.col("_n") - 1)
+        aggs += [F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col("_v"))).alias(f"_l_{name}"), F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col("_v"))).alias(f"_h_{name}"), F.max(at - F.floor(at)).alias(f"_f_{name}")]
+        out.append((F.col(f"_l_{name}") + F.col(f"_f_{name}") * (F.col(f"_h_{name}") - F.col(f"_l_{name}"))).alias(name))
+    return j.groupBy(*keys).agg(*aggs).select(*keys, *out)

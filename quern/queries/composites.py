@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import fold_accents
 from ..operators import features as X
+from ..operators.quality import exact_percentiles
 from ..registry import query
 from ..sources.tables import load
 
@@ -27,11 +28,11 @@ _HOLIDAYS = ["1998-01-01", "1998-01-28", "1998-04-30", "1998-05-01", "1998-09-02
 
 @query(
     "business_days",
-    f"""with c as (select cast(range as date) d from range(date '1997-12-01', date '1999-03-01', interval 1 day)), w as (select d from c where isodow(d) < 6 and d not in ({', '.join(f"date '{h}'" for h in _HOLIDAYS)}))
-select o_orderkey, (select count(*) from w where d >= o_orderdate::date and d < (o_orderdate + interval 10 day)::date) as working_days from orders where o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1999-01-01'""",
+    f"""with c as (select cast(range as date) d from range(date '1990-01-01', date '2012-01-01', interval 1 day)), w as (select d from c where isodow(d) < 6 and d not in ({', '.join(f"date '{h}'" for h in _HOLIDAYS)}))
+select o_orderkey, n as working_days from orders join (select c.d, count(w.d) n from c left join w on w.d >= c.d and w.d < c.d + interval 10 day group by 1) on d = o_orderdate::date""",
 )
 def business_days(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where((F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")))
+    o = load(spark, sf, "orders").where("o_orderdate is not null")
     d = F.to_date("o_orderdate")
     return o.select("o_orderkey", X.business_days_between(d, F.date_add(d, 10), _HOLIDAYS).alias("working_days"))
 
@@ -41,12 +42,12 @@ def pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "dim_users").where("email is not null").select("id", X.pseudonym(F.col("email"), "s3").alias("token"))
 
 
-@query("crypto_shredding", "select n_name, r.r_name, case when r.r_name <> 'ASIA' then n_name end as readable from nation join region r on n_regionkey = r_regionkey")
+@query("crypto_shredding", "select c_custkey, c_mktsegment, case when c_mktsegment <> 'BUILDING' then c_name end as readable from customer")
 def crypto_shredding(spark: SparkSession, sf: str) -> DataFrame:
-    """Names sealed under a key per region; the key of one region is deleted before reading."""
-    n = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.col("n_name").alias("readable"))
-    keys = load(spark, sf, "region").select(F.col("r_name").alias("owner"), F.substring(F.md5("r_name"), 1, 16).alias("key"))
-    return X.unsealed(X.sealed(n, "readable", "r_name", keys), "readable", "r_name", keys.where("owner <> 'ASIA'"))
+    """Names sealed under a key per segment; the key of one segment is deleted before reading."""
+    c = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("readable"))
+    keys = c.select(F.col("c_mktsegment").alias("owner")).distinct().withColumn("key", F.substring(F.md5("owner"), 1, 16))
+    return X.unsealed(X.sealed(c, "readable", "c_mktsegment", keys), "readable", "c_mktsegment", keys.where("owner <> 'BUILDING'"))
 
 
 @query("row_level_view", "select c_custkey, c_name from customer where c_nationkey in (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name = 'EUROPE')")
@@ -58,11 +59,11 @@ def row_level_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merkle_root",
-    """with recursive l(d, i, h) as (select 0, row_number() over (order by n_nationkey) - 1, sha256(n_name) from nation union all
+    """with recursive l(d, i, h) as (select 0, row_number() over (order by o_orderkey) - 1, sha256(o_orderpriority) from orders union all
 select d + 1, p, sha256(a || b) from (select d, i // 2 as p, h as a, coalesce(lead(h) over (partition by d order by i), h) as b, i, count(*) over (partition by d) as c from l) where c > 1 and i % 2 = 0) select h as root from l order by d desc limit 1""",
 )
 def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
-    return X.merkle_root(load(spark, sf, "nation"), ["n_nationkey"], "n_name")
+    return X.merkle_root(load(spark, sf, "orders"), ["o_orderkey"], "o_orderpriority")
 
 
 @query(
@@ -185,7 +186,8 @@ select m as month, round(v, 4) as median_price, round(exp(sum(ln(coalesce(r, 1))
 )
 def monthly_median_index(spark: SparkSession, sf: str) -> DataFrame:
     """Chained month over month; the windows run over a row per month."""
-    g = load(spark, sf, "lineitem").groupBy(F.trunc("l_shipdate", "month").alias("month")).agg(F.median(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    li = load(spark, sf, "lineitem").select(F.trunc("l_shipdate", "month").alias("month"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    g = exact_percentiles(li, ["month"], "price", {"v": 0.5})
     w = Window.orderBy("month")
     r = g.withColumn("r", F.coalesce(F.col("v") / F.lag("v").over(w), F.lit(1.0)))
     return r.select("month", F.round("v", 4).alias("median_price"), F.round(F.exp(F.sum(F.log("r")).over(w)), 6).alias("index"))
@@ -205,12 +207,12 @@ def peer_change(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "shadow_diff",
-    "select 'only_new' as kind, count(*) as n from orders where o_totalprice >= 100 and not (o_totalprice > 150000) union all select 'only_old', 0 union all select 'both', count(*) from orders where o_totalprice > 150000",
+    "select 'only_new' as kind, count(*) as n from orders where o_orderstatus <> 'P' and not (o_totalprice > 150000) union all select 'only_old', count(*) from orders where o_totalprice > 150000 and o_orderstatus = 'P' union all select 'both', count(*) from orders where o_totalprice > 150000 and o_orderstatus <> 'P'",
 )
 def shadow_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Two versions of a pipeline over the same input: rows either alone gives."""
-    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    old, new = o.where("o_totalprice > 150000").withColumn("_old", F.lit(1)), o.where("o_totalprice >= 100").withColumn("_new", F.lit(1))
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    old, new = (d.select("o_orderkey", "o_totalprice", F.lit(1).alias(n)) for d, n in ((o.where("o_totalprice > 150000"), "_old"), (o.where("o_orderstatus <> 'P'"), "_new")))
     j = old.join(new, ["o_orderkey", "o_totalprice"], "full_outer")
     kind = F.when(F.col("_old").isNull(), "only_new").when(F.col("_new").isNull(), "only_old").otherwise("both")
     n = j.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -234,7 +236,8 @@ def folded_cities(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer_snapshots").agg(F.countDistinct(c).alias("n_cities"))
 
 
-@query("text_tokens", "select lang, sum(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')))::bigint as n_words from documents where text is not null and lang = 'en' group by 1")
+@query("text_tokens", "select lower(trim(lang)) as lang, sum(len(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')))::bigint as n_words from documents where text is not null group by 1")
 def text_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents").where("text is not null and lang = 'en'")
-    return d.groupBy("lang").agg(F.sum(F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))).alias("n_words"))
+    """Runs of Latin letters and digits, by language as spelt without regard to case."""
+    d = load(spark, sf, "documents").where("text is not null").withColumn("t", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return d.groupBy(F.lower(F.trim("lang")).alias("lang")).agg(F.sum(F.size(F.filter(F.split("t", "[^a-z0-9]+"), lambda w: w != ""))).alias("n_words"))

@@ -89,12 +89,17 @@ def merge_copy_on_write(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merge_on_read",
-    """with l as (select id, updated_at, status, row_number() over (partition by id order by epoch_us(updated_at) desc, (status = 'cancelled') desc, coalesce(status, '') desc) r from raw_orders where updated_at is not null)
-select id, status from l where r = 1 and coalesce(status <> 'cancelled', true)""",
+    """with l as (select id, status, epoch_us(updated_at) v, coalesce(status = 'cancelled', false) gone from raw_orders where updated_at is not null and updated_at >= timestamp '2025-06-15'
+union all select id, status, -1, false from (select id, arg_max(status, row(updated_at, status)) filter (status is not null) status from raw_orders where updated_at < timestamp '2025-06-15' group by 1)),
+r as (select *, row_number() over (partition by id order by v desc, gone desc, coalesce(status, '') desc) r from l) select id, status from r where r = 1 and not gone""",
 )
 def merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
-    r = load(spark, sf, "raw_orders").where("updated_at is not null").select("id", "status", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("v"), (F.col("status") == "cancelled").alias("gone"))
-    return V.merge_on_read(r.select("id", "status").limit(0), r, ["id"], "v", "gone")
+    """A base of what was known by the middle of June, and the later changes as its log."""
+    r = load(spark, sf, "raw_orders").where("updated_at is not null")
+    cut = F.lit("2025-06-15").cast("timestamp_ntz")
+    base = r.where(F.col("updated_at") < cut).groupBy("id").agg(F.max_by("status", F.when(F.col("status").isNotNull(), F.struct("updated_at", "status"))).alias("status"))
+    log = r.where(F.col("updated_at") >= cut).select("id", "status", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("v"), (F.col("status") == "cancelled").alias("gone"))
+    return V.merge_on_read(base, log, ["id"], "v", "gone")
 
 
 @query(
@@ -107,14 +112,14 @@ def retention_rules(spark: SparkSession, sf: str) -> DataFrame:
     return V.retained(e, ["user_id"], "ts", "event_id", F.lit(now).cast("timestamp_ntz"), ttl_days=20, most=5).select("event_id")
 
 
-@query("table_time_travel", "select 1 as version, count(*) as n from nation where n_regionkey < 2 union all select 2, count(*) from nation union all select 3, count(*) from nation where n_nationkey % 2 = 1 union all select 4, count(*) from nation")
+@query("table_time_travel", "select 1 as version, count(*) as n from orders where o_orderstatus = 'F' union all select 2, count(*) from orders where o_orderstatus in ('F', 'O') union all select 3, count(*) from orders where o_orderstatus in ('F', 'O') and o_orderkey % 2 = 1 union all select 4, count(*) from orders where o_orderstatus in ('F', 'O')")
 def table_time_travel(spark: SparkSession, sf: str) -> DataFrame:
     """Append, append, delete and roll back, then count each version."""
-    n = load(spark, sf, "nation")
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     t = V.VersionedTable(spark, scratch(spark, "versions"))
-    t.append(n.where("n_regionkey < 2"))
-    t.append(n.where("n_regionkey >= 2"))
-    t.delete("n_nationkey % 2 = 0")
+    t.append(o.where("o_orderstatus = 'F'"))
+    t.append(o.where("o_orderstatus = 'O'"))
+    t.delete("o_orderkey % 2 = 0")
     t.rollback(2)
     out = None
     for v in t.versions():

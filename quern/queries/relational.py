@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.runtime import broadcast_if_small
+from ..operators.quality import exact_percentiles
 from ..registry import query
 from ..sources.tables import load
 
@@ -426,7 +427,10 @@ def agg_nested(spark: SparkSession, sf: str) -> DataFrame:
 )
 def agg_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles; the most frequent line number is unique in the data."""
-    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile(l_extendedprice, 0.5)").alias("median"), F.expr("percentile_disc(0.9) within group (order by l_extendedprice)").alias("p90"), F.mode("l_linenumber").alias("m"))
+    li = load(spark, sf, "lineitem")
+    p = exact_percentiles(li, ["l_returnflag"], "l_extendedprice", {"median": 0.5, "p90": 0.9}, ("p90",))
+    m = li.groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).groupBy("l_returnflag").agg(F.max_by("l_linenumber", "n").alias("m"))
+    return p.join(m, "l_returnflag")
 
 
 @query(
