@@ -22,6 +22,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..plans.runtime import materialize
@@ -37,20 +38,6 @@ NAME_LIKENESS = 0.3
 _FIELD_SCHEMA = "subject string, file_no int, event_id long, id string, path string, jtype string, value string"
 
 
-def _jtype(v: object) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "fraction"
-    if isinstance(v, str):
-        return "string"
-    return "array" if isinstance(v, list) else "object"
-
-
 def _leaves(o: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
     """Fields of an object, nested ones as a.b; without recursion, so depth has no limit."""
     stack = [(prefix, o)]
@@ -63,24 +50,39 @@ def _leaves(o: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
                 yield p + str(k), v
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_JTYPES = {bool: "boolean", int: "integer", float: "fraction", str: "string", list: "array", dict: "object"}
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("subject", pa.string()), ("file_no", pa.int32()), ("event_id", pa.int64()), ("id", pa.string()), ("path", pa.string()), ("jtype", pa.string()), ("value", pa.string())])
+    write, read = json.JSONEncoder(sort_keys=True).encode, json.JSONDecoder().decode
     for b in batches:
-        rows = []
-        for subject, no, event, text in zip(b["subject"], b["file_no"], b["event_id"], b["payload"]):
+        at, ids, paths, kinds, values = [], [], [], [], []
+        for i, text in enumerate(b.column("payload").to_pylist()):
+            if text is None:
+                continue
             try:
-                o = json.loads(text) if isinstance(text, str) else None
+                o = read(text)
             except (ValueError, RecursionError):
                 continue
-            if isinstance(o, dict):
-                key = json.dumps(o.get("id"), sort_keys=True)
-                rows += [(subject, no, event, key, p, _jtype(v), None if v is None else json.dumps(v, sort_keys=True)) for p, v in _leaves(o)]
-        yield pd.DataFrame(rows, columns=["subject", "file_no", "event_id", "id", "path", "jtype", "value"])
+            if not isinstance(o, dict):
+                continue
+            key, before = write(o.get("id")), len(paths)
+            for p, v in _leaves(o):
+                paths.append(p.encode("utf-8", "backslashreplace").decode())  # half a surrogate pair is no text
+                kinds.append("null" if v is None else _JTYPES[type(v)])
+                values.append(None if v is None else write(v))
+            n = len(paths) - before
+            at += [i] * n
+            ids += [key] * n
+        rows = b.select(["subject", "file_no", "event_id"]).take(pa.array(at, "int64"))
+        yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(rows.columns, schema)), pa.array(ids, "string"), pa.array(paths, "string"), pa.array(kinds, "string"), pa.array(values, "string")], schema=schema)
 
 
 def flattened(events: DataFrame) -> DataFrame:
     """A row per record and field: subject, file_no, event_id, id, path, jtype, value (as JSON)."""
     src = events.where("subject is not null and file_no is not null").select("subject", F.col("file_no").cast("int").alias("file_no"), F.coalesce(F.col("event_id").cast("bigint"), F.lit(-1)).alias("event_id"), "payload")
-    return src.mapInPandas(_flatten, _FIELD_SCHEMA)
+    return src.mapInArrow(_flatten, _FIELD_SCHEMA)
 
 
 def profiles(fields: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,24 +122,36 @@ def merged_registers(replicas: DataFrame, key: str, at: str, node: str, value: s
     return replicas.groupBy(key).agg(F.max_by(value, F.struct(at, node)).alias("value"))
 
 
+def beta_below(x: float, a: float, b: float) -> float:
+    """Part of a beta distribution at or below x, by its continued fraction, from the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_below(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # convergents p / q of 1 / (1 + d1 / (1 + d2 / ...)), kept near one
+    p0, q0, p1, q1, last = 0.0, 1.0, 1.0, 1.0, 0.0
+    for n in range(1, 100_000):
+        m = n // 2
+        d = m * (b - m) * x / ((a + n - 1) * (a + n)) if n % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + n - 1) * (a + n))
+        p0, q0, p1, q1 = p1, q1, p1 + d * p0, q1 + d * q0
+        if q1:
+            p0, q0, p1, q1 = p0 / q1, q0 / q1, p1 / q1, 1.0
+            if abs(p1 - last) <= 1e-13 * abs(p1):
+                break
+            last = p1
+    return front * p1
+
+
 def beta_scores(df: DataFrame, key: str, good: Column, alpha: float = 1.0, beta: float = 1.0, healthy: float = 0.9) -> DataFrame:
     """Posterior of a pass rate: mean, and the probability that it is at least ``healthy``.
 
-    Counts come from one aggregate; the incomplete beta function runs on a row per key, by Simpson's rule.
+    Counts come from one aggregate; the incomplete beta function runs on a row per key.
     """
-    import math
-
     n = df.groupBy(key).agg(F.count_if(good).alias("ok"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
 
     def tail(a: float, b: float) -> float:
-        k = 2000
-        norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-
-        def f(x: float) -> float:
-            return 0.0 if x <= 0 or x >= 1 else math.exp(norm + (a - 1) * math.log(x) + (b - 1) * math.log1p(-x))
-
-        h = (1 - healthy) / k
-        return min(1.0, h / 3 * sum((1 if i in (0, k) else 4 if i % 2 else 2) * f(healthy + i * h) for i in range(k + 1)))
+        return 1 - beta_below(healthy, a, b)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -390,7 +390,14 @@ def layout_z_order(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", z.alias("z"))
 
 
-@query("layout_hilbert")
+@query(
+    "layout_hilbert",
+    """with recursive s as (select row_number() over () id, l_orderkey, l_linenumber, l_quantity, l_discount, least(greatest(floor(l_quantity / 51.0 * 63), 0), 63)::bigint x, least(greatest(floor(l_discount / 0.2 * 63), 0), 63)::bigint y from lineitem),
+h(id, cx, cy, d, k) as (select id, x, y, 0::bigint, 5 from s union all
+select id, case when ry = 0 then ly else lx end, case when ry = 0 then lx else ly end, d + xor(3 * rx, ry) * (1 << (2 * k)), k - 1
+from (select *, case when ry = 0 and rx = 1 then top - (cx & top) else cx & top end lx, case when ry = 0 and rx = 1 then top - (cy & top) else cy & top end ly from (select *, (cx >> k) & 1 rx, (cy >> k) & 1 ry, (1 << k) - 1 top from h where k >= 0)))
+select l_orderkey, l_linenumber, l_quantity, l_discount, d as curve from h join s using (id) where k = -1""",
+)
 def layout_hilbert(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
     return L.hilbert_ordered(li, L.scaled("l_quantity", 0, 51, 6), L.scaled("l_discount", 0, 0.2, 6), 6)
@@ -406,7 +413,11 @@ def layout_salted_sum(spark: SparkSession, sf: str) -> DataFrame:
     return L.salted_sum(load(spark, sf, "events"), ["user_id"], "event_id", 16, "event_id")
 
 
-@query("layout_ring_owners")
+@query(
+    "layout_ring_owners",
+    """with r as (select ('0x' || substr(sha256('n' || n || '/' || i), 1, 15))::bigint p, 'n' || n as owner from range(1, 5) a(n), range(64) b(i)), k as (select ('0x' || substr(sha256(c_custkey::varchar), 1, 15))::bigint h from customer)
+select coalesce(r.owner, (select arg_min(owner, p) from r)) as owner, count(*) as n from k asof left join r on k.h <= r.p group by 1""",
+)
 def layout_ring_owners(spark: SparkSession, sf: str) -> DataFrame:
     return L.ring_owner(load(spark, sf, "customer").select("c_custkey"), "c_custkey", ["n1", "n2", "n3", "n4"]).groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
 

@@ -104,10 +104,16 @@ def replica_registers(spark: SparkSession, sf: str) -> DataFrame:
     return X.merged_registers(load(spark, sf, "events"), "user_id", "ts", "event_id", "event_type")
 
 
-@query("bayesian_quality")
+@query(
+    "bayesian_quality",
+    """with g as (select product_id, count(*) filter (status is not null) ok, count(*) filter (status is null) bad from raw_orders group by 1),
+t as (select product_id, ok, bad, sum(exp(lgamma(ok + bad + 2) - lgamma(j + 1) - lgamma(ok + bad + 2 - j) + j * ln(0.9) + (ok + bad + 1 - j) * ln(0.1))) p from g, unnest(range(ok + 1)) r(j) group by 1, 2, 3)
+select product_id, ok, bad, round((ok + 1) / (ok + bad + 2), 8) as mean, round(p, 5) as p_healthy from t""",
+)
 def bayesian_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Posterior pass rate of the status check per product."""
-    return X.beta_scores(load(spark, sf, "raw_orders"), "product_id", F.col("status").isNotNull())
+    b = X.beta_scores(load(spark, sf, "raw_orders"), "product_id", F.col("status").isNotNull())
+    return b.withColumns({"mean": F.round("mean", 8), "p_healthy": F.round("p_healthy", 5)})
 
 
 @query(
@@ -119,7 +125,12 @@ def closest_words(spark: SparkSession, sf: str) -> DataFrame:
     return X.closest_word(s, "status", ["placed", "paid", "shipped", "delivered", "cancelled"])
 
 
-@query("lexicon_scores")
+@query(
+    "lexicon_scores",
+    """with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') ws from documents), u as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) i, ws from w),
+s as (select doc_id, sum(v * case when i > 1 and ws[i - 1] in ('not', 'no', 'không') then -1 else 1 end) score from u join (values ('slow', -1.0), ('failed', -2.0), ('fault', -1.0), ('clear', 1.0), ('safe', 1.0), ('cheap', 0.5), ('cost', -0.5), ('chậm', -1.0), ('lỗi', -1.0)) l(x, v) using (x) group by 1)
+select d.doc_id, case when text is not null then coalesce(score, 0)::double end as score from documents d left join s using (doc_id)""",
+)
 def lexicon_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Polarity of every document's words, over whole texts."""
     words = {"slow": -1.0, "failed": -2.0, "fault": -1.0, "clear": 1.0, "safe": 1.0, "cheap": 0.5, "cost": -0.5, "chậm": -1.0, "lỗi": -1.0}

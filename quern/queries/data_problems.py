@@ -166,7 +166,29 @@ def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- p5
 
 
-@query("p5_found")
+_P5 = r"""with e as (select subject, file_no, coalesce(event_id, -1) ev, payload::json p from schema_events where subject is not null and file_no is not null and payload is not null and json_valid(payload) and json_type(payload) = 'OBJECT'),
+f as (select subject, file_no, ev, json_extract(p, '$.id')::varchar id, replace(substr(t.fullkey, 3), '"', '') path,
+  case when t.type in ('BIGINT', 'UBIGINT', 'HUGEINT') then 'integer' when t.type = 'DOUBLE' then 'fraction' when t.type = 'VARCHAR' then 'string' when t.type = 'BOOLEAN' then 'boolean' when t.type = 'ARRAY' then 'array' when t.type = 'NULL' then 'null' else 'object' end jt, t.value::varchar v
+  from e, json_tree(p) t where t.fullkey <> '$' and not regexp_matches(t.fullkey, '\[[0-9]+\]') and (t.type <> 'OBJECT' or t.value::varchar = '{}')),
+bt as (select subject, file_no, path, jt, count(*) n from f group by all),
+pr as (select subject, file_no, path, arg_max(jt, row(n, -ascii(jt))) filter (jt <> 'null') jt from bt group by 1, 2, 3),
+fi as (select distinct subject, file_no from pr), st as (select a.subject, a.file_no from fi a join fi b on a.subject = b.subject and b.file_no = a.file_no - 1),
+pv as (select subject, file_no + 1 as file_no, path, jt from pr),
+j as (select coalesce(n.subject, o.subject) subject, coalesce(n.file_no, o.file_no) file_no, coalesce(n.path, o.path) path, n.path is not null has_n, o.path is not null has_o, n.jt nt, o.jt ot from pr n full join pv o on n.subject = o.subject and n.file_no = o.file_no and n.path = o.path),
+s as (select j.* from j join st using (subject, file_no)),
+l as (select subject, file_no, id, path, arg_max(v, row(ev, v)) v from f where jt <> 'null' group by 1, 2, 3, 4),
+g as (select s.subject, s.file_no, l.id, s.path, l.v from s join l on l.subject = s.subject and l.file_no = s.file_no - 1 and l.path = s.path where not has_n),
+k as (select s.subject, s.file_no, l.id, s.path, l.v from s join l on l.subject = s.subject and l.file_no = s.file_no and l.path = s.path where not has_o),
+a as (select g.subject, g.file_no, g.path o, k.path n, count(*) filter (g.v = k.v) / count(*) r from g join k using (subject, file_no, id) group by 1, 2, 3, 4 having count(*) filter (g.v = k.v) > 0),
+q as (select *, row_number() over (partition by subject, file_no, o order by r desc, n) ro, row_number() over (partition by subject, file_no, n order by r desc, o) rn from a),
+r as (select subject, file_no, o, n from q where ro = 1 and rn = 1 and r >= 0.5)
+select subject, file_no, 'renamed' as change_kind, o as old_field, n as new_field from r
+union all select subject, file_no, 'removed', path, '' from s where not has_n and (subject, file_no, path) not in (select subject, file_no, o from r)
+union all select subject, file_no, 'added', '', path from s where not has_o and (subject, file_no, path) not in (select subject, file_no, n from r)
+union all select subject, file_no, 'retyped', path, path from s where has_n and has_o and nt <> ot"""
+
+
+@query("p5_found", _P5)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """A rename is defined by the values of common ids here, so files without any have none."""
     return drift.changes(materialize(drift.flattened(load(spark, sf, "schema_events")), "fields"), without_ids=False)
