@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.runtime import materialize
+from ..plans.runtime import discard, materialize
 
 #: Sum of changes of all ranks between two looks below which page ranks have settled.
 RANK_TOLERANCE = 1e-8
@@ -80,6 +80,7 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: C
         nxt = materialize(step(state), "iterate")
         if changed(state, nxt).isEmpty():
             return nxt
+        discard(state)
         state = nxt
     raise RuntimeError(f"iterate: still changing after {most} rounds")
 
@@ -106,6 +107,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         nxt = materialize(star(star(state, True), False), "edges")
         same = nxt.exceptAll(state).isEmpty() and state.exceptAll(nxt).isEmpty()
+        discard(state)
         state = nxt
         if same:
             break
@@ -127,6 +129,7 @@ def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, look_
     n = v.count()
     r = materialize(v.withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
     i, seen = 0, None
+    stored = r
     # the rank that dangling vertices give to all is one number a round, which needs the round's table; without any, rounds are chained
     some = not v.where("out is null").isEmpty()
     while n and (rounds is None or i < rounds):
@@ -137,6 +140,9 @@ def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, look_
         i += 1
         if some or i % look_every == 0:
             r = materialize(r, "ranks")
+            if seen is None:  # the ranks of the look before are needed once more
+                discard(stored)
+            stored = r
         if rounds is None and i % look_every == 0:
             if seen is not None:
                 moved = r.join(seen, "v").agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0]
@@ -146,6 +152,23 @@ def pagerank(edges: DataFrame, rounds: int | None = None, d: float = 0.85, look_
     return r.select("v", "rank")
 
 
+def simple_cycles(edges: DataFrame, most: int) -> DataFrame:
+    """Directed cycles of at most ``most`` different vertices, each once as its path from its smallest vertex.
+
+    A path only goes on to vertices above its start, so a cycle is found from one of its corners alone.
+    """
+    e = materialize(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "edges")
+    walk, found = e.where("dst > src").select(F.array("src", "dst").alias("path")), None
+    for k in range(2, most + 1):
+        end, start = F.element_at("path", -1), F.element_at("path", 1)
+        closed = walk.withColumn("_e", end).withColumn("_s", start).join(e, (F.col("_e") == F.col("src")) & (F.col("_s") == F.col("dst")), "left_semi").select("path")
+        found = closed if found is None else found.unionByName(closed)
+        if k < most:
+            on = walk.withColumn("_e", end).join(e, F.col("_e") == F.col("src")).where((F.col("dst") > start) & ~F.array_contains("path", F.col("dst")))
+            walk = materialize(on.select(F.concat("path", F.array("dst")).alias("path")), "paths")
+    return found
+
+
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(v, hops): vertices within so many steps of any seed, with the fewest steps."""
     e = edges.select("src", "dst").distinct()
@@ -172,9 +195,10 @@ def cascade(exposures: DataFrame, buffers: DataFrame, seeds: DataFrame, most: in
         nxt = materialize(failed.unionByName(new), "failed")
         grown = nxt.count()
         if grown == size:
-            return failed
+            return nxt
         if most is not None and k > most:
             raise RuntimeError(f"cascade: still spreading after {most} waves")
+        discard(failed)
         failed, size = nxt, grown
 
 

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 STORED_LIMIT = 8 << 20
 
 _OWN_DIR: dict[str, str] = {}
+_MARKED: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,9 +49,47 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder; nothing is there yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the shared folder; nothing is there yet. All of an application's are deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/quern-{app}"
+    if root not in _MARKED:
+        fs, p = _file_system(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(root)
+    path = f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+    for s in _SCOPES:
+        s.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever was stored inside; results must have been written elsewhere or collected by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for x in paths:
+            fs, p = _file_system(spark, x)
+            fs.delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` stored and that nothing reads any more, as an iteration's last state."""
+    for t in tables:
+        path = getattr(t, "_quern_path", None)
+        if path:
+            fs, p = _file_system(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def materialize(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
@@ -60,7 +102,9 @@ def materialize(df: DataFrame, label: str = "cut", partition_by: list[str] | Non
     path = scratch(spark, label)
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
 
 
 def stored_bytes(table: DataFrame) -> int:

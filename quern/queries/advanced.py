@@ -98,6 +98,17 @@ def graph_timed_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.get("path", F.lit(0)).alias("a"), F.get("path", F.lit(1)).alias("b"), F.get("path", F.lit(2)).alias("c"), "t0", "t1")
 
 
+@query(
+    "graph_simple_cycles",
+    f"""with e as (select distinct src, dst from {_USER_EDGES} where src <> dst) select a.src as a, a.dst as b, null::bigint as c from e a join e b on b.src = a.dst and b.dst = a.src where a.dst > a.src
+union all select a.src, a.dst, b.dst from e a join e b on b.src = a.dst join e c on c.src = b.dst and c.dst = a.src where a.dst > a.src and b.dst > a.src and b.dst <> a.dst""",
+)
+def graph_simple_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Directed cycles of two and three users, each from its smallest."""
+    c = G.simple_cycles(_user_edges(spark, sf), 3)
+    return c.select(*[F.get("path", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
 @query(
     "graph_lineage_impact",
     f"""with recursive e as (select distinct src, dst from {_USER_EDGES} where src < dst), r(v, d) as (select 0::bigint, 0 union select e.dst, r.d + 1 from r join e on e.src = r.v where r.d < 4) select v, min(d) as depth from r group by 1""",

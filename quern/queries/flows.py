@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import late
@@ -47,10 +45,8 @@ def source_pushed_filters(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     n.write.json(p)
     lines.register(spark)
-    local = p.removeprefix("file://")
-    if not os.path.isdir(local):  # the store isn't a mounted folder here; the built-in reader gives the same
-        return spark.read.schema(n.schema).json(p).where("n_regionkey = 2 and n_nationkey > 5").select("n_nationkey", "n_name")
-    return spark.read.format("json_lines").schema(n.schema).load(local).where("n_regionkey = 2 and n_nationkey > 5").select("n_nationkey", "n_name")
+    # the source reads files as Python does, so the shared folder must be mounted on every node
+    return spark.read.format("json_lines").schema(n.schema).load(p.removeprefix("file:").replace("//", "/")).where("n_regionkey = 2 and n_nationkey > 5").select("n_nationkey", "n_name")
 
 
 @query("source_unseen_files", "select distinct subject, file_no from schema_events where file_no > 2")
@@ -95,6 +91,19 @@ def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     return T.run_append(s, "deduplicated").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stream_rescued_fields",
+    """with p as (select topic, case when json_valid(payload) and json_type(payload) = 'OBJECT' then json_keys(payload) end k from sample_events where payload is not null)
+select topic, count(*) filter (k is null) as n_corrupt, cast(coalesce(sum(len(list_filter(k, lambda x: x not in ('amount')))), 0) as bigint) as n_rescued from p group by 1""",
+)
+def stream_rescued_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads parsed as they stream in, with what the schema doesn't have kept beside it."""
+    s = T.stream_in_parts(spark, sf, "sample_events", "landing_id").where("payload is not null").select("topic", "payload")
+    r = T.run_append(files.with_rescued(s, "payload", "amount string").select("topic", "_rescued"), "rescued")
+    bad = F.map_contains_key("_rescued", "_corrupt")
+    return r.groupBy("topic").agg(F.count_if(bad).alias("n_corrupt"), F.coalesce(F.sum(F.when(~bad, F.size("_rescued"))), F.lit(0)).cast("bigint").alias("n_rescued"))
+
+
 @query(
     "stream_closed_sessions",
     """with m as (select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 30 minute then 1 else 0 end s from events window w as (partition by user_id order by ts, event_id)), n as (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) k from m),

@@ -164,12 +164,12 @@ def exponential_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "volume_spikes",
     """with h as (select event_type, time_bucket(interval 1 hour, ts, timestamp '1970-01-01') h, count(*) n from events group by 1, 2)
-select event_type, h as bar_start, n from (select *, sum(n) over w s, count(*) over w c from h window w as (partition by event_type order by h rows between 5 preceding and 1 preceding)) where c = 5 and n >= 2 * (s // 5) and s >= 5""",
+select event_type, h as bar_start, n from (select *, sum(n) over w s, count(*) over w c from h window w as (partition by event_type order by h rows between 5 preceding and 1 preceding)) where c = 5 and n >= 5 * (s // 5) and s >= 5""",
 )
 def volume_spikes(spark: SparkSession, sf: str) -> DataFrame:
     h = load(spark, sf, "events").groupBy("event_type", temporal.period_start("ts", 3600).alias("bar_start")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("event_type").orderBy("bar_start").rowsBetween(-5, -1)
-    return h.withColumn("s", F.sum("n").over(w)).withColumn("c", F.count(F.lit(1)).over(w)).where("c = 5 and s >= 5 and n >= 2 * (s div 5)").select("event_type", "bar_start", "n")
+    return h.withColumn("s", F.sum("n").over(w)).withColumn("c", F.count(F.lit(1)).over(w)).where("c = 5 and s >= 5 and n >= 5 * (s div 5)").select("event_type", "bar_start", "n")
 
 
 @query(

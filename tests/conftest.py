@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from quern.plans.runtime import session
 
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "3", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    # generated code costs more to compile than it saves on small tables; QUERN_TEST_CODEGEN=1 tests it as it ships
+    plain = {} if os.environ.get("QUERN_TEST_CODEGEN") else {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    s = session("tests", "local[4]", **plain, **{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
