@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.runtime import materialize, scratch
+from ..plans.runtime import discard, materialize, scratch
 
 #: A band reaches from one size down to this part of it; the last one takes all sizes from LAST_BAND down.
 BAND_PART = 16
@@ -116,7 +116,9 @@ def matched(items: DataFrame, slots: DataFrame) -> DataFrame:
     w = Window.partitionBy("pack_name", "depth").orderBy("pid", "kind")
     pairs = lone.withColumn("cont", F.when(F.col("depth") > 0, F.lag("cont").over(w))).where("kind = 'i'")
     cols = ["pack_name", "item", "doc_id", "size", "cont"]
-    return swept.where("kind = 'm'").select(*cols).unionByName(pairs.select(*cols))
+    out = swept.where("kind = 'm'").select(*cols).unionByName(pairs.select(*cols))
+    out._quern_path = swept._quern_path  # what it is read from, to be discarded with it
+    return out
 
 
 def _new_containers(spark: SparkSession, new: list[tuple[str, int, int, int]]) -> DataFrame:
@@ -156,7 +158,7 @@ def placed(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
     schema = "pack_name string, item bigint, doc_id bigint, size bigint, cont bigint"
     root, step = scratch(spark, "placed"), 0
     containers = spark.createDataFrame([], "pack_name string, cont bigint, gap bigint")
-    opened = dict.fromkeys(capacities, 0)
+    opened, stored = dict.fromkeys(capacities, 0), None
     for band in range(max(len(band_tops(c)) for c in capacities.values())):
         left, first = items.where(F.col("band") == band).drop("band"), True
         while state := _state(left, containers):
@@ -171,10 +173,15 @@ def placed(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
             if new:
                 containers = containers.unionByName(_new_containers(spark, new))
             here = f"{root}/step={step}"
-            matched(left, _slots(containers, state)).write.parquet(here)
+            fresh = matched(left, _slots(containers, state))
+            fresh.write.parquet(here)
+            discard(fresh)
             m = spark.read.schema(schema).parquet(here)
             used = m.where("cont is not null").select("pack_name", "cont", (-F.col("size")).alias("gap"))
-            containers = materialize(containers.unionByName(used).groupBy("pack_name", "cont").agg(F.sum("gap").alias("gap")).where("gap > 0"), "containers")
+            before, containers = stored, materialize(containers.unionByName(used).groupBy("pack_name", "cont").agg(F.sum("gap").alias("gap")).where("gap > 0"), "containers")
+            if before is not None:
+                discard(before)
+            stored = containers
             left, step, first = m.where("cont is null").drop("cont"), step + 1, False
     if not step:
         return spark.createDataFrame([], schema).drop("doc_id")
