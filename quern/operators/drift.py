@@ -179,8 +179,11 @@ def _by_distribution(f: DataFrame, kinds: DataFrame) -> DataFrame:
     sketch, below the lesser of both ends, that the other one has as well.
     """
     step = ["subject", "file_no"]
-    met = f.where("side = 'gone'").select(*step, "id").join(f.where("side = 'come'").select(*step, "id"), [*step, "id"]).select(*step).distinct()
-    apart = f.join(met, step, "left_anti")
+    both = f.groupBy(*step, "id").agg((F.count_if(F.col("side") == "gone") > 0).alias("g"), (F.count_if(F.col("side") == "come") > 0).alias("c"))
+    alone = materialize(both.groupBy(*step).agg(F.max(F.col("g") & F.col("c")).alias("met")).where("not met").select(*step), "steps-apart")
+    if alone.isEmpty():
+        return f.sparkSession.createDataFrame([], "subject string, file_no int, old_field string, new_field string")
+    apart = f.join(alone, step, "left_semi")
     own = apart.groupBy(*step, "side", "path", F.xxhash64("value").alias("h")).agg(F.lit(1).alias("_1"))
     w = Window.partitionBy(*step, "side", "path").orderBy("h")
     sk = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SKETCH_VALUES).groupBy(*step, "side", "path").agg(F.collect_list("h").alias("hs"))  # at most SKETCH_VALUES entries
