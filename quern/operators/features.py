@@ -240,3 +240,16 @@ def deltas(df: DataFrame, key: list[str], order: list[str], column: str) -> Data
 def undeltas(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("decoded", F.sum("delta").over(w))
+
+
+def longest_prefix(df: DataFrame, column: str, directory: DataFrame, prefix: str, values: list[str]) -> DataFrame:
+    """Adds ``values`` of the longest entry of a directory that a text starts with, nulls where there is none.
+
+    A text meets only its own beginnings of the lengths that the directory has (a few numbers), by an equality join.
+    """
+    lengths = [r[0] for r in directory.where(F.col(prefix).isNotNull()).select(F.length(prefix)).distinct().collect()]
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    ways = F.filter(F.array(*[F.when(F.length(column) >= n, F.substring(column, 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
+    d = directory.groupBy(F.col(prefix).alias("_p")).agg(*[F.first(v).alias(v) for v in values])
+    met = keyed.select("_row", F.explode(ways).alias("_p")).join(d, "_p").groupBy("_row").agg(F.max_by(F.struct(*values), F.length("_p")).alias("_v"))
+    return keyed.join(met, "_row", "left").select(*df.columns, *[F.col(f"_v.{v}").alias(v) for v in values])

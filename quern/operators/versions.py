@@ -156,7 +156,12 @@ class VersionedTable:
         return self._commit({"op": "overwrite", "dirs": [self._write(df)]})
 
     def delete(self, condition: str) -> int:
-        return self.overwrite(self.read().where(f"not coalesce({condition}, false)"))
+        """Rewrites only the directories that hold a row to be deleted; the others stay as they are."""
+        schema, dirs = self.read().schema, []
+        for d in self.live():
+            part = self.spark.read.schema(schema).parquet(f"{self.root}/{d}")
+            dirs.append(d if part.where(condition).isEmpty() else self._write(part.where(f"not coalesce({condition}, false)")))
+        return self._commit({"op": "delete", "dirs": dirs})
 
     def rollback(self, version: int) -> int:
         return self._commit({"op": "rollback", "dirs": self._entry(version)["dirs"]})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import checksums
-from ..operators import delta, features as X, layout, provenance as P, quality as Q, temporal, versions as V
+from ..operators import delta, features as X, history, layout, provenance as P, quality as Q, temporal, versions as V
 from ..plans.runtime import scratch
 from ..registry import query
 from ..sources import files
@@ -460,3 +460,65 @@ def row_groups_pruned(spark: SparkSession, sf: str) -> DataFrame:
     lo = F.lit("1998-10-01").cast("timestamp_ntz")
     kept = layout.files_in_range(spark, p, "l_shipdate", "1998-10-01", None)
     return (spark.read.parquet(*kept) if kept else spark.read.parquet(p).limit(0)).where(F.col("l_shipdate") >= lo).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- lookups and joins of unlike sources
+
+_DIRECTORY = [("FUR", "furniture"), ("BUI", "building"), ("B", "other b"), ("AUTO", "cars"), ("MACHINERY", "machines")]
+
+
+@query(
+    "lookup_longest_prefix",
+    f"select c_custkey, (select arg_max(v, length(p)) from (values {', '.join(str(x) for x in _DIRECTORY)}) t(p, v) where starts_with(c_mktsegment, p)) as trade from customer",
+)
+def lookup_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame(_DIRECTORY, "prefix string, trade string")
+    return X.longest_prefix(load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", d, "prefix", ["trade"]).select("c_custkey", "trade")
+
+
+@query(
+    "star_join_current",
+    """with d as (select id, updated_at::date d, arg_max(row(upper(trim(country))), row(updated_at, coalesce(upper(trim(country)), ''))) v from raw_customers where id is not null and updated_at is not null group by 1, 2),
+c as (select id, arg_max(v[1], d) filter (v[1] is not null) country from d group by 1)
+select country, strftime(ordered_at, '%Y-%m') as month, count(*) as n, cast(sum(amount_cents) as bigint) as cents from raw_orders r join c on c.id = r.customer_id where ordered_at is not null group by 1, 2""",
+)
+def star_join_current(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by month and by the country of the customer's current version."""
+    c = load(spark, sf, "raw_customers").select("id", F.to_date("updated_at").alias("on_date"), F.upper(F.trim("country")).alias("country"), "updated_at")
+    now = history.versions(c, "id", "on_date", {"country": F.col("country")}, "updated_at").where("is_current").select(F.col("id").alias("customer_id"), "country")
+    r = load(spark, sf, "raw_orders").where("ordered_at is not null").select("customer_id", F.date_format("ordered_at", "yyyy-MM").alias("month"), "amount_cents")
+    return r.join(now, "customer_id").groupBy("country", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"))
+
+
+@query("join_unlike_sources", "select n_name, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1")
+def join_unlike_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders from CSV, customers from JSON lines and nations from ORC."""
+    o, c, n = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), load(spark, sf, "customer").select("c_custkey", "c_nationkey"), load(spark, sf, "nation")
+    p = {k: scratch(spark, k) for k in ("csv", "json", "orc")}
+    files.write(o, p["csv"], "csv", header="true", sep=";")
+    files.write(c, p["json"], "json")
+    files.write(n, p["orc"], "orc")
+    a = spark.read.schema(o.schema).option("header", "true").option("sep", ";").csv(p["csv"])
+    j = a.join(files.read(spark, p["json"], "json", c.schema), F.col("o_custkey") == F.col("c_custkey")).join(files.read(spark, p["orc"], "orc", n.schema), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("stream_sliding_counts", "select make_timestamp((epoch_us(ts) // 21600000000 - k) * 21600000000) as window_start, count(*) as n from events, range(4) r(k) where ts is not null group by 1")
+def stream_sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per day, begun every six hours."""
+    e = T.stream_in_parts(spark, sf, "events", "ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    c = e.groupBy(F.window("at", "24 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return T.run_complete(c.select(F.col("w.start").alias("window_start"), "n"), "sliding").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _order_features(df: DataFrame) -> DataFrame:
+    """The same expressions for a table and for a stream of it."""
+    return df.select("o_orderkey", F.round(X.clipped("o_totalprice", 50000, 300000), 2).alias("clipped"), X.ordinal("o_orderstatus", ["O", "P", "F"]).alias("place"))
+
+
+@query("stream_features_as_batch", "select o_orderkey, round(least(greatest(o_totalprice, 50000), 300000), 2) as clipped, list_position(['O', 'P', 'F'], o_orderstatus) - 1 as place, true as same from orders")
+def stream_features_as_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of a stream, each held against that of the table."""
+    s = T.run_append(_order_features(T.stream_in_parts(spark, sf, "orders", "o_orderkey")), "features")
+    b = _order_features(load(spark, sf, "orders")).select("o_orderkey", F.struct("clipped", "place").alias("_b"))
+    return s.join(b, "o_orderkey", "left").select("o_orderkey", "clipped", "place", F.struct("clipped", "place").eqNullSafe(F.col("_b")).alias("same"))
