@@ -44,3 +44,21 @@ def test_empty_table_and_alike_texts(spark):
 
 def test_block_ratio():
     assert S.block_ratio(b"") == 1.0 and S.block_ratio(b"a" * 100_000) < 0.02 < 0.9 < S.block_ratio(random.Random(1).randbytes(50_000))
+
+
+def test_only_new_sentences_count():
+    """A sentence that repeats what came before has an end, but adds next to nothing to the compressed block."""
+    rnd = random.Random(7)
+    varied = prose(rnd, EN, 30)
+    repeated = " ".join("Looking for stock ticks dashboard? Best stock ticks dashboard means stock ticks dashboard." for _ in range(40))
+    assert S.measures(varied)[3] > 0.9 and S.measures(repeated)[3] < 0.1
+    assert S.measures(varied)[2] > 2 * S.measures(repeated)[2]
+    words, size_class, ratio, sentences, machine, ends = S.measures("\n".join(f"2025-06-{d:02d} 10:00:00 WARN retry {d}" for d in range(1, 29)))
+    assert machine > 0.9 and sentences == ends == 0
+    assert S.measures(None)[0] == S.measures("")[0] == 0 and S.measures("x" * 200_000)[0] == 1
+
+
+def test_classes_with_few_pages_borrow_from_their_neighbours(spark):
+    rows = [(i, "en", 100, 20, 0.5 + i % 10 / 100, 0.0, 0.0, 0.0) for i in range(200)] + [(900 + i, "vi", 100, 21, 0.9, 0.0, 0.0, 0.0) for i in range(3)] + [(950, "en", 5, 3, 1.0, 0.0, 0.0, 0.0)]
+    u = {(r["lang"], r["size_class"]): r["median"] for r in S.usual_ratios(spark.createDataFrame(rows, S._MEASURED)).collect()}
+    assert set(u) == {("en", 20), ("vi", 21)} and u["vi", 21] < 0.6
