@@ -211,7 +211,13 @@ def p5_users_changes(spark: SparkSession, sf: str) -> DataFrame:
     return drift.table_changes(user_fields(spark, sf))
 
 
-@query("p5_users")
+@query(
+    "p5_users",
+    r"""with v as (select id, _cdc_lsn l, _schema_version sv, tier from dim_users where id is not null and _cdc_lsn is not null and tier is not null),
+a as (select id, arg_max(tier, l) o from v where sv = 2 group by 1), b as (select id, arg_min(tier, l) n from v where sv = 3 group by 1), m as (select o, arg_max(n, row(c, n)) n from (select o, n, count(*) c from a join b using (id) group by 1, 2) group by 1)
+select id, email, username, coalesce(account_status, status) as status, case when coalesce(_schema_version < 3, m.n is not null and tier not in (select n from m), false) then m.n else tier end as tier,
+regexp_replace(phone, '[^\p{L}\p{N}]+', '', 'g') as phone, created_at, updated_at, _cdc_op, _cdc_lsn, _dw_loaded_at from dim_users left join m on tier = o""",
+)
 def p5_users(spark: SparkSession, sf: str) -> DataFrame:
     """dim_users in one shape by the changes found in it; their list is bounded by the schema."""
     found = drift.table_changes(user_fields(spark, sf)).collect()
