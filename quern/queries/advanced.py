@@ -367,7 +367,16 @@ def budget_renyi(spark: SparkSession, sf: str) -> DataFrame:
 VIEWED_THEN_BOUGHT = [S.Step("view", 2, 2 * 86400 * 1_000_000), S.Step("click", 1, 2 * 86400 * 1_000_000), S.Step("purchase", 1, 4 * 86400 * 1_000_000)]
 
 
-@query("sequence_matches")
+@query(
+    "sequence_matches",
+    """with recursive e as (select user_id, epoch_us(ts) t, event_type k, row_number() over (partition by user_id order by ts, event_id) r from events where ts is not null and user_id is not null),
+m(user_id, r, step, seen, f, l, hit) as (select user_id, 0::bigint, 0, 0, 0::bigint, 0::bigint, false from (select distinct user_id from e) union all
+select user_id, r, case when gone then 0 when fits and full_ then (step + 1) % 3 else step end, case when gone then 0 when fits then case when full_ then 0 else seen + 1 end else seen end,
+case when fits and step = 0 and seen = 0 then t else f end, case when fits then t else l end, fits and full_ and step = 2
+from (select *, not gone and k = ['view', 'click', 'purchase'][step + 1] and not ((step > 0 or seen > 0) and t - l > [2, 2, 4][step + 1] * 86400000000) fits, seen + 1 >= [2, 1, 1][step + 1] full_
+from (select m.*exclude(r), e.r, e.t, e.k, m.step > 0 and e.t - m.f > 864000000000 gone from m join e on e.user_id = m.user_id and e.r = m.r + 1)))
+select user_id, f as first_us, l as last_us from m where hit""",
+)
 def sequence_matches(spark: SparkSession, sf: str) -> DataFrame:
     return S.matches(load(spark, sf, "events"), "user_id", "ts", "event_type", "value", "event_id", VIEWED_THEN_BOUGHT, 10 * 86400)
 

@@ -286,7 +286,11 @@ def checksum_mod_11(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").select("c_custkey", checksums.weighted_rest(digits, [31, 29, 23, 19, 17, 13, 7, 5, 3], 11).alias("rest"))
 
 
-@query("checksum_crc16")
+@query(
+    "checksum_crc16",
+    """select c_custkey, list_reduce(list_prepend(65535::bigint, list_transform(range(1, len(c_name) + 1), lambda i: ascii(c_name[i])::bigint)),
+lambda c, b: list_reduce(list_prepend(xor(c, b << 8), range(8)), lambda v, i: case when (v & 32768) > 0 then xor(v << 1, 4129) & 65535 else (v << 1) & 65535 end))::int as crc from customer""",
+)
 def checksum_crc16(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").select("c_custkey", checksums.crc16(F.col("c_name")).alias("crc"))
 
