@@ -63,7 +63,7 @@ def with_periods(rows: DataFrame, limits: DataFrame) -> DataFrame:
 class RestatedPeriods:
     """Retained events with their verdicts, and counts and sums per (table_name, topic, period), kept right batch by batch."""
 
-    PARTS = ["table_name", "topic", "period_day"]
+    PARTS = ["table_name", "period_day"]
     #: Touched days are pushed down to the scan of the retained rows up to this many.
     DAYS_PUSHED = 2000
 
@@ -71,8 +71,8 @@ class RestatedPeriods:
         self.spark, self.root, self.limits, self.total_type = spark, root.rstrip("/"), limits, total_type
         parts = ", ".join(f"{c} string" for c in self.PARTS)
         self.schemas = {
-            "events": f"partition_id int, kafka_offset bigint, _own bigint, row_id bigint, event_time timestamp_ntz, arrival timestamp_ntz, amount {total_type}, period_start bigint, verdict string, {parts}",
-            "periods": f"period_start bigint, n_rows bigint, n_first bigint, n_corrections bigint, total {total_type}, {parts}",
+            "events": f"topic string, partition_id int, kafka_offset bigint, _own bigint, row_id bigint, event_time timestamp_ntz, arrival timestamp_ntz, amount {total_type}, period_start bigint, verdict string, {parts}",
+            "periods": f"topic string, period_start bigint, n_rows bigint, n_first bigint, n_corrections bigint, total {total_type}, {parts}",
         }
 
     def _stored(self, name: str) -> DataFrame | None:
@@ -126,7 +126,7 @@ class RestatedPeriods:
             kept = kept.join(broadcast_if_small(touched, base=touched), self.PARTS, "left_semi").join(stale.select("table_name", "row_id"), ["table_name", "row_id"], "left_anti")
             rows = materialize(kept.unionByName(fresh), "restated")
         counted = rows.where("verdict in ('on_time', 'correction')").join(summed, self.PARTS, "left_semi") if old is not None else rows.where("verdict in ('on_time', 'correction')")
-        sums = counted.groupBy(*self.PARTS, "period_start").agg(
+        sums = counted.groupBy(*self.PARTS, "topic", "period_start").agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(F.col("verdict") == "on_time").alias("n_first"),
             F.count_if(F.col("verdict") == "correction").alias("n_corrections"),
